@@ -86,7 +86,8 @@ def top_checks(runs: DataFrame, top: int = TOP) -> DataFrame:
 def known_defects(runs: DataFrame, checks: dict[str, str] = KNOWN) -> DataFrame:
     """defect, n, pct: datasets in which a check of a known defect FAILs, of those that got a grade; 0 if none did."""
     graded = F.count_if(F.col("status").isin("PASS", "WARN", "FAIL"))
-    fails = {k: F.count_if(F.exists("results", lambda r, c=c: (r["check_id"] == c) & (r["severity"] == "FAIL"))) for k, c in checks.items()}
+    failed = F.transform(F.filter("results", lambda r: r["severity"] == "FAIL"), lambda r: r["check_id"])
+    fails = {k: F.count_if(F.array_contains(failed, c)) for k, c in checks.items()}
     rows = [F.struct(F.lit(k).alias("defect"), n.alias("n"), F.coalesce(_rounded(F.try_divide(100.0 * n, graded), 1), F.lit(0.0)).alias("pct")) for k, n in fails.items()]
     return runs.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 

@@ -6,7 +6,6 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from frameledger.checks.engine import CheckContext, check, found, passed, require_shards
-from frameledger.operators.series import with_position
 from frameledger.sources.files import exists, listing
 from frameledger.sources.loader import TrajectoryDataset
 from frameledger.verdict import CheckResult, Severity
@@ -59,7 +58,7 @@ def index_continuity(ds: TrajectoryDataset, ctx: CheckContext) -> CheckResult:
     if gap:
         items.append(f"episode numbers are not 0..{ds.num_episodes - 1}: place {gap[0].ord} has episode {gap[0].episode_index}")
     require_shards(ds)
-    rows = with_position(ds.core(["frame_index", "index"]), ["ord"], "row")
+    rows = ds.placed(["frame_index", "index"])
     e = ds.episodes.select("ord", "episode_index", "length", "dataset_from_index")
     j = rows.select("ord", "position", "rows", "frame_index", "index").join(e, "ord")
     per = j.groupBy("ord").agg(
@@ -90,8 +89,7 @@ def metadata_data_agreement(ds: TrajectoryDataset, ctx: CheckContext) -> CheckRe
     total = ds.episodes.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     if ds.info.total_frames is not None and total != ds.info.total_frames:
         items.append(f"lengths add up to {total}, total_frames is {ds.info.total_frames}")
-    n = ds.core([]).groupBy("ord").agg(F.count(F.lit(1)).alias("rows"))
-    e = ds.episodes.join(n, "ord", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    e = ds.episodes.join(ds.row_counts(), "ord", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     span = F.col("dataset_to_index") - F.col("dataset_from_index")
     bad = e.filter((F.col("rows") != F.col("length")) | (span != F.col("length"))).orderBy("ord").limit(_AGREEMENT_CAP).collect()
     require_shards(ds)

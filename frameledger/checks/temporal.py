@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frameledger.checks.engine import CheckContext, check, found, passed, require_shards
 from frameledger.errors import CheckExecutionError
 from frameledger.functions.columns import py_gt
-from frameledger.operators.series import BLOCK, drift, first_not_increasing, first_off_spacing, with_position
+from frameledger.operators.series import BLOCK, drift, first_not_increasing, first_off_spacing
 from frameledger.sources.loader import TrajectoryDataset
 from frameledger.verdict import CheckResult, Severity
 
@@ -17,7 +17,7 @@ TOLERANCE, MOST = 1e-4, 10_000
 
 
 def _frames(ds: TrajectoryDataset, *cols: str) -> DataFrame:
-    d = with_position(ds.core(list(cols)), ["ord"], "row")
+    d = ds.placed(list(cols))
     if not d.filter(" or ".join(f"{c} is null" for c in cols)).isEmpty():
         raise CheckExecutionError(f"a null in {' or '.join(cols)}")
     return d.select("ord", "position", *cols)
@@ -80,7 +80,7 @@ def timestamp_drift(ds: TrajectoryDataset, ctx: CheckContext) -> CheckResult:
     d = _frames(ds, "frame_index", "timestamp").withColumn("amount", drift(F.col("frame_index"), F.col("timestamp"), F.lit(float(ds.info.fps)), F.lit(exact)))
     require_shards(ds)
     nan = d.filter(F.isnan("amount")).agg(F.min(F.struct("ord", "position"))).first()[0]
-    good = d if nan is None else d.filter(F.struct("ord", "position") < F.struct(F.lit(nan[0]), F.lit(nan[1])))
+    good = d if nan is None else d.filter((F.col("ord") < nan[0]) | ((F.col("ord") == nan[0]) & (F.col("position") < nan[1])))
     block = F.floor(F.col("position") / BLOCK)
     sums = ds.keep(good.groupBy("ord", block.alias("block")).agg(F.sum("amount").alias("total")))
     per = sums.groupBy("ord").agg(F.sum("total").alias("total"))

@@ -116,6 +116,8 @@ def undefined(refs: DataFrame, defined: DataFrame, keys: Sequence[str]) -> DataF
 
 def values_of(df: DataFrame, carry: Sequence[str], features: dict[str, Column]) -> DataFrame:
     """carry, feature, item, value: every component (array<double> per feature) as a row; a null component is NaN, a null feature one NaN."""
+    if not features:
+        return df.select(*carry, F.lit("").alias("feature"), F.lit(0).alias("item"), F.lit(0.0).alias("value")).limit(0)
     one = [F.struct(F.lit(f).alias("feature"), F.coalesce(c, F.array(F.lit(None).cast("double"))).alias("v")) for f, c in features.items()]
     d = df.select(*carry, F.explode(F.array(*one)).alias("_f"))
     return d.select(*carry, "_f.feature", F.posexplode("_f.v").alias("item", "value")).withColumn("value", F.coalesce("value", F.lit(float("nan"))))

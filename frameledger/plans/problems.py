@@ -133,7 +133,34 @@ g AS (SELECT DISTINCT 'gap' AS kind, src_table, dataset_id, camera, chunk_index,
 n AS (SELECT *, sum(CASE WHEN reach >= lo THEN 0 ELSE 1 END) OVER (PARTITION BY src_table, dataset_id, camera, chunk_index, file_index ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM r)
 """
 
+_KIND = "CASE json_type({0}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END"
+_P3 = f"""
+WITH b AS (SELECT repo_id, revision, CAST(body AS JSON) AS j FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, revision ORDER BY written_at DESC, file_id DESC) AS k FROM info_files WHERE CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' ELSE false END) WHERE k = 1),
+ik AS (SELECT repo_id, revision, k AS field, json_extract(j, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM b)),
+fk AS (SELECT repo_id, revision, k AS field, json_extract(v, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(v)) AS k FROM ik WHERE field = 'features' AND json_type(v) = 'OBJECT')),
+t AS (SELECT repo_id, revision, CAST(record AS JSON) AS j FROM task_records WHERE CASE WHEN json_valid(record) THEN json_type(record) = 'OBJECT' ELSE false END),
+tk AS (SELECT repo_id, revision, k AS field, {_KIND.format("json_extract(j, '$." + '"' + "' || k || '" + '"' + "')")} AS kind FROM (SELECT *, unnest(json_keys(j)) AS k FROM t)),
+tn AS (SELECT repo_id, revision, field, kind, count(*) AS n FROM tk WHERE kind IS NOT NULL GROUP BY ALL),
+flat AS (
+  SELECT repo_id, revision, 'info' AS scope, field, {_KIND.format("v")} AS kind, CAST(NULL AS VARCHAR) AS shape, CASE WHEN {_KIND.format("v")} = 'number' THEN CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS same, ltrim(json_extract_string(v, '$'), 'v') AS bare
+  FROM ik WHERE json_type(v) <> 'NULL'
+  UNION ALL SELECT repo_id, revision, 'feature', field, json_extract_string(v, '$.dtype'), CAST(CAST(json_extract(v, '$.shape') AS BIGINT[]) AS VARCHAR), json_extract_string(v, '$.dtype') || CAST(CAST(json_extract(v, '$.shape') AS BIGINT[]) AS VARCHAR), NULL FROM fk WHERE json_type(v) <> 'NULL'
+  UNION ALL SELECT repo_id, revision, 'task', field, kind, NULL, kind, NULL FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, revision, field ORDER BY n DESC, kind) AS k FROM tn) WHERE k = 1),
+revs AS (SELECT s.scope, repo_id, revision, lag(revision) OVER (PARTITION BY s.scope, repo_id ORDER BY revision) AS before FROM (
+  SELECT 'info' AS scope, repo_id, revision FROM b UNION ALL SELECT 'feature', repo_id, revision FROM b UNION ALL SELECT DISTINCT 'task', repo_id, revision FROM t) s),
+o AS (SELECT r.scope, r.repo_id, r.revision, f.field, f.kind, f.shape, f.same, f.bare FROM revs r JOIN flat f ON f.scope = r.scope AND f.repo_id = r.repo_id AND f.revision = r.before),
+n AS (SELECT f.* FROM revs r JOIN flat f ON f.scope = r.scope AND f.repo_id = r.repo_id AND f.revision = r.revision WHERE r.before IS NOT NULL),
+gone AS (SELECT *, row_number() OVER (PARTITION BY scope, repo_id, revision, same ORDER BY field) AS k FROM o ANTI JOIN n USING (scope, repo_id, revision, field)),
+came AS (SELECT *, row_number() OVER (PARTITION BY scope, repo_id, revision, same ORDER BY field) AS k FROM n ANTI JOIN o USING (scope, repo_id, revision, field)),
+stay AS (SELECT o.scope, o.repo_id, o.revision, o.field, o.kind AS k0, n.kind AS k1, o.shape AS s0, n.shape AS s1, o.bare AS b0, n.bare AS b1 FROM o JOIN n USING (scope, repo_id, revision, field))
+SELECT repo_id, revision, scope, coalesce(g.field, c.field) AS field, CASE WHEN c.field IS NULL THEN 'removed' WHEN g.field IS NULL THEN 'added' ELSE 'renamed' END AS change FROM gone g FULL JOIN came c USING (scope, repo_id, revision, same, k)
+UNION ALL SELECT repo_id, revision, scope, field, 'retyped' FROM stay WHERE k0 <> k1
+UNION ALL SELECT repo_id, revision, scope, field, 'reshaped' FROM stay WHERE scope = 'feature' AND s0 IS DISTINCT FROM s1
+UNION ALL SELECT repo_id, revision, scope, field, 'version' FROM stay WHERE scope = 'info' AND field = 'codebase_version' AND b0 <> b1
+"""
+
 SQL = {
+    "p3_found": _P3,
     "p1_found": _P1 + "SELECT * FROM found",
     "p1_report": _P1 + "SELECT src_table, ref_table, period, kind, count(*) AS refs, count(DISTINCT (dataset_id, ref_key)) AS keys FROM found GROUP BY ALL",
     "p2_found": _P2 + "SELECT dataset_id, episode_index, grid_index FROM g ANTI JOIN r USING (dataset_id, episode_index, grid_index)",

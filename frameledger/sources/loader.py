@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameledger.errors import CheckExecutionError, DatasetFormatError, SourceResolutionError
-from frameledger.operators.series import last_runs
+from frameledger.operators.series import last_runs, with_position
 from frameledger.sources.files import MAX_EPISODES, MAX_FRAMES, check_bound, contained, exists, listing, read_text
 from frameledger.sources.footers import read_footers
 from frameledger.sources.info import Feature, Info, check_version, load_info
@@ -107,10 +107,32 @@ class TrajectoryDataset:
         who = self.episodes.select("ord", "episode_index", F.col("shard").alias("path"))
         return out.withColumn("episode_index", F.col("episode_index").cast("bigint")).join(who, ["path", "episode_index"])
 
+    @functools.cached_property
+    def extents(self) -> DataFrame:
+        """ord, first, last, n: places of an episode's rows in its file; a row per episode, kept."""
+        return self.keep(self.frames([]).groupBy("ord").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count(F.lit(1)).alias("n")))
+
+    @functools.cached_property
+    def scattered(self) -> bool:
+        """Whether some episode's rows do not stand together in its file."""
+        return not self.extents.filter("last - first + 1 <> n").isEmpty()
+
     def core(self, wanted: list[str]) -> DataFrame:
-        """frames in file order, of an episode whose rows are scattered over its file only the last stretch."""
+        """frames of an episode whose rows are scattered over its file only in their last stretch."""
         d = self.frames(wanted)
-        return last_runs(d, ["path", "ord"], "row", "episode_index")
+        return last_runs(d, ["path", "ord"], "row", "episode_index") if self.scattered else d
+
+    def placed(self, wanted: list[str]) -> DataFrame:
+        """core with `position` (0, 1, ... in file order) and `rows`, their number."""
+        if self.scattered:
+            return with_position(self.core(wanted), ["ord"], "row")
+        return self.frames(wanted).join(self.extents.select("ord", "first", F.col("n").alias("rows")), "ord").withColumn("position", F.col("row") - F.col("first")).drop("first")
+
+    def row_counts(self) -> DataFrame:
+        """ord, rows of core."""
+        if self.scattered:
+            return self.core([]).groupBy("ord").agg(F.count(F.lit(1)).alias("rows"))
+        return self.extents.select("ord", F.col("n").alias("rows"))
 
 
 def _as(name: str, spark: str | None):
