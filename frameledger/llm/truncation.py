@@ -24,16 +24,16 @@ _BRACKETS = re.compile("[" + re.escape("".join(PAIRS) + "".join(sorted(_CLOSERS)
 #: Marks of omission at the end, which say nothing about where the text ended.
 _MARKS = re.compile(r"(?:\s|…|\.{3,}|\[\s*(?:…|\.{3,})\s*\]|\(\s*(?:…|\.{3,})\s*\)|[-–—_*#=~|>]+)+$")
 #: A line that belongs to the page, not to the text: page numbers and running heads.
-_PAGE = re.compile(r"(?ix) [\W_]* (?: (?:page|p\.|seite|s\.|blatt|folio)? [\s.]* \d+ (?: \s* (?:of|/|de|von|sur) \s* \d+)? | \S.{0,80}? [\s—–|:-]+ (?:page|seite|p\.|blatt) \s* \d+ (?: \s* (?:of|/|de|von|sur) \s* \d+)? | \S.{0,100}? \s{3,} \d+ ) [\W_]*")
+_PAGE = re.compile(r"(?ix) [-–—\s|·•~*=]* (?: (?:page|p\.|seite|s\.|blatt|folio)? [\s.]* \d+ (?: \s* (?:of|/|de|von|sur) \s* \d+)? | \S.{0,80}? [\s—–|:-]+ (?:page|seite|p\.|blatt) \s* \d+ (?: \s* (?:of|/|de|von|sur) \s* \d+)? | \S.{0,100}? \s{3,} \d+ ) [-–—\s|·•~*=]*")
 _NAME = r"(?:(?:[^\W\d_]\.[ -]?)+[ ])(?:(?:von|van|de|du|der)[ ])?[^\W\d_][\w'’-]+"
 #: A closing line after the last sentence, a paragraph of its own.
 _CLOSING = re.compile(
     rf"(?:{_NAME}(?:,[ ][^\W\d_]+(?:[ ][^\W\d_]+)?)?"  # signature, with or without the office
     r"|[^\W\d_][\w ]{0,30}:[ ].*[^.!?]"  # Registrar: ..., Cited: ...
     r"|[^\W\d_][\w' -]{1,40},[ ](?:\d{4}-\d\d-\d\d|\d{1,2}\.?[ ][^\W\d_]+[ ]\d{4}|\d{1,2}[./]\d{1,2}[./]\d{4})"  # place and date
-    r"|[(\[][^()\[\]]*[)\]]|[-–—=*_]+[ ]?[^-–—=*_]{0,40}[ ]?[-–—=*_]+)"  # a bracketed note, a ruled line
+    r"|[(\[](?!\d+[)\]])[^()\[\]]*[)\]]|[-–—=*_]+[ ]?[^-–—=*_]{0,40}[ ]?[-–—=*_]+)"  # a bracketed note, a ruled line
 )
-_NUMBER = re.compile(r"(?:[(\[]?(?:\d+|[ivxlc]+|[a-z])[)\].]+|§+\s*\d+)\s*", re.IGNORECASE)
+_NUMBER = re.compile(r"(?:[(\[]?(?:\d{1,6}|[ivxlc]{1,7}|[a-z])[)\].]+|§+\s*\d+)", re.IGNORECASE)
 _END = re.compile(r"[.!?。！？](?:[\s\"'”’»“)\]›]*)$")
 _INITIAL = re.compile(r"(?:^|[\s(\[.-])[^\W\d_]\.$")
 _BROKEN = re.compile(r"(?:�|\\u?[0-9a-fA-F]{0,3}|&#?\w{0,8}|%[0-9A-Fa-f]?|<[^<>]*|[\ud800-\udfff]|[ÂÃ])$")
@@ -93,7 +93,7 @@ def judge(text: str | None) -> Verdict:
         structure = "broken character, escape or tag"
     elif (at := unclosed(last)) >= 0 and not re.search(r"[.!?]\s+\S", last[at:]):
         structure = "unclosed bracket or quote"
-    elif _INITIAL.search(words) or not _NUMBER.sub("", words, count=1):
+    elif _INITIAL.search(words) or _NUMBER.fullmatch(words):
         structure = "breaks off after an initial or a number"
     return Verdict(structure, not _END.search(words), len(paras) - 1, bare)
 
