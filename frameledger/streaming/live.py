@@ -20,13 +20,14 @@ TOLERANCE = 1e-4
 
 
 def watch_frames(frames: DataFrame, fps: float, timeout: str = "1 hour", tolerance: float = TOLERANCE) -> DataFrame:
-    """Streaming frames (dataset_id, episode_index, frame_index, timestamp) -> rows of FOUND.
+    """Streaming frames (dataset_id, episode_index, frame_index, timestamp, loaded_at) -> rows of FOUND.
 
     kind: 'not increasing', 'spacing', 'drift' (once per episode, when the sum passes the tolerance).
-    State of an episode is dropped after `timeout` without frames. Null and NaN timestamps are skipped.
+    The watermark follows loaded_at by `timeout`; frames older than it are ignored, and the state of an
+    episode is dropped once it has passed the episode's last frame. Null and NaN timestamps are skipped.
     """
     step = 1.0 / fps
-    hour = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    keep = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -34,7 +35,9 @@ def watch_frames(frames: DataFrame, fps: float, timeout: str = "1 hour", toleran
             return
         last_i, last_t, drift, drifted = state.get if state.exists else (-1, float("nan"), 0.0, False)
         rows: list[tuple] = []
-        d = pd.concat(list(batches)).dropna(subset=["frame_index", "timestamp"]).sort_values("frame_index", kind="stable")
+        d = pd.concat(list(batches))
+        latest = int(d["at"].max().timestamp() * 1000) if d["at"].notna().any() else 0
+        d = d.dropna(subset=["frame_index", "timestamp"]).sort_values("frame_index", kind="stable")
         for i, t in zip(d["frame_index"].tolist(), d["timestamp"].astype(np.float64).tolist(), strict=True):
             if i <= last_i:
                 continue
@@ -50,9 +53,9 @@ def watch_frames(frames: DataFrame, fps: float, timeout: str = "1 hour", toleran
                 rows.append((*key, i, "drift", drift))
             last_i, last_t = i, t
         state.update((last_i, last_t, drift, drifted))
-        state.setTimeoutDuration(hour)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + keep)
         if rows:
             yield pd.DataFrame(rows, columns=["dataset_id", "episode_index", "frame_index", "kind", "amount"])
 
-    f = frames.selectExpr("cast(dataset_id as bigint) dataset_id", "cast(episode_index as bigint) episode_index", "cast(frame_index as bigint) frame_index", "cast(timestamp as float) timestamp")
-    return f.groupBy("dataset_id", "episode_index").applyInPandasWithState(run, FOUND, _STATE, "append", "ProcessingTimeTimeout")
+    f = frames.selectExpr("cast(dataset_id as bigint) dataset_id", "cast(episode_index as bigint) episode_index", "cast(frame_index as bigint) frame_index", "cast(timestamp as float) timestamp", "cast(loaded_at as timestamp) at").withWatermark("at", timeout)
+    return f.groupBy("dataset_id", "episode_index").applyInPandasWithState(run, FOUND, _STATE, "append", "EventTimeTimeout")
