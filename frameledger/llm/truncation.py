@@ -35,7 +35,8 @@ _CLOSING = re.compile(
 )
 _NUMBER = re.compile(r"(?:[(\[]?(?:\d{1,6}|[ivxlc]{1,7}|[a-z])[)\].]+|§+\s*\d+)", re.IGNORECASE)
 _END = re.compile(r"[.!?。！？](?:[\s\"'”’»“)\]›]*)$")
-_INITIAL = re.compile(r"(?:^|[\s(\[.-])[^\W\d_]\.$")
+#: A name's initial within a sentence; an only letter after a stop is a sentence of its own.
+_INITIAL = re.compile(r"[^\s.!?]\s+(?:[^\W\d_a-zß-ÿ]\.[\s-]?)+$")
 _BROKEN = re.compile(r"(?:�|\\u?[0-9a-fA-F]{0,3}|&#?\w{0,8}|%[0-9A-Fa-f]?|<[^<>]*|[\ud800-\udfff]|[ÂÃ])$")
 
 
