@@ -141,6 +141,11 @@ def test_schema_changes(spark):
     assert table[2, 2].n_features == 2
 
 
+def test_deep_and_long_bodies():
+    assert schema_drift._described("[" * 100_000) is None
+    assert [f["type"] for f in schema_drift._described('{"a": 1' + "0" * 3000 + ', "b": "' + "x" * 100_000 + '", "c": 1e999}')] == ["number", "string", "number"]
+
+
 def test_schema_of_nothing(spark):
     e = spark.createDataFrame([], INFO), spark.createDataFrame([], TASK)
     assert rows(schema_drift.schema_changes(*e)) == []
