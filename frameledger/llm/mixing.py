@@ -54,9 +54,9 @@ def _plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None) -> Dat
     levels = sizes.groupBy("source", "level").agg(F.sum("n_tokens").cast("double").alias("tokens")).join(t, "source").filter("tokens > 0")
     own = Window.partitionBy("source")
     levels = levels.withColumn("all", F.sum("tokens").over(own)).withColumn("w", F.pow(F.lit(2.0), F.col("level") / 8))
-    feasible = levels.groupBy().agg(F.min(F.col("cap") * F.col("all") / F.col("share")).alias("most"))
-    goal = F.least(F.col("most") if total_tokens is None else F.lit(float(total_tokens)), F.lit(float("inf"))) * F.col("share")
-    levels = levels.crossJoin(feasible).withColumn("goal", F.least(goal, F.col("cap") * F.col("all")))
+    # a row per source with a target and weight
+    most = F.min(F.col("cap") * F.col("all") / F.col("share")).over(Window.partitionBy()) if total_tokens is None else F.lit(float(total_tokens))
+    levels = levels.withColumn("goal", F.least(most * F.col("share"), F.col("cap") * F.col("all")))
     down = own.orderBy(F.desc("w"))
     capped = F.coalesce(F.sum("tokens").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum(F.col("tokens") * F.col("w")).over(down.rowsBetween(0, Window.unboundedFollowing))
