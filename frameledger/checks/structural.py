@@ -29,9 +29,10 @@ def schema_consistency(ds: TrajectoryDataset, ctx: CheckContext) -> CheckResult:
     if not ds.columns:
         require_shards(ds)
         return passed(me, "No columns are declared.")
-    declared = ds.spark.createDataFrame([(i, f.name, ARROW.get(f.dtype), f.shape == (1,)) for i, f in enumerate(ds.columns)], "place int, name string, want string, scalar boolean")
+    text = lambda x: F.lit(x).cast("string")
+    declared = F.array(*(F.struct(F.lit(i).alias("place"), text(f.name).alias("name"), text(ARROW.get(f.dtype)).alias("want"), F.lit(f.shape == (1,)).alias("scalar")) for i, f in enumerate(ds.columns)))
     files = ds.footers.filter("error is null").select("path", F.explode_outer("columns").alias("c")).select("path", F.col("c.name").alias("name"), F.col("c.type").alias("type"), F.when(F.col("c.is_list"), F.col("c.element")).alias("element"))
-    per_file = ds.footers.filter("error is null").select("path").crossJoin(F.broadcast(declared)).join(files, ["path", "name"], "left")  # as many rows per file as columns are declared
+    per_file = ds.footers.filter("error is null").select("path", F.inline(declared)).join(files, ["path", "name"], "left")
     held = F.when(F.col("scalar"), F.col("type")).otherwise(F.coalesce("element", "type"))
     bad = per_file.filter(F.col("type").isNull() | (F.col("want").isNotNull() & (held != F.col("want")))).select(F.col("path").alias("shard"), "place", "name", "type", "want", held.alias("held"))
     hits = ds.episodes.join(bad, "shard")
