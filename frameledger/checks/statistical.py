@@ -41,9 +41,9 @@ def _values(ds: TrajectoryDataset, names: list[str]) -> DataFrame:
 
 def _moments(ds: TrajectoryDataset, names: list[str]) -> DataFrame:
     """Moments of every numeric feature by episode, computed once for all checks of this module."""
-    if not hasattr(ds, "_episode_moments"):
-        ds._episode_moments = ds.keep(moments(_values(ds, _features(ds, [f for f in ds.features if f.is_numeric])), ["ord", "feature"]))
-    return ds._episode_moments.filter(F.col("feature").isin(names))
+    if "moments" not in ds.shared:
+        ds.shared["moments"] = ds.keep(moments(_values(ds, _features(ds, [f for f in ds.features if f.is_numeric])), ["ord", "feature"]))
+    return ds.shared["moments"].filter(F.col("feature").isin(names))
 
 
 def _with_order(ds: TrajectoryDataset, m: DataFrame, keys: list[str], names: list[str], whole: bool) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -25,13 +26,12 @@ def decoder_name() -> str:
     return "av"
 
 
-def _decode(data: bytes, position: str) -> str | None:
-    import io
-
+def _decode(file: BinaryIO, position: str) -> str | None:
     import av
 
     try:
-        with av.open(io.BytesIO(data)) as box:
+        file.seek(0)
+        with av.open(file) as box:
             if not box.streams.video:
                 return "no video stream"
             n = 0
@@ -44,22 +44,27 @@ def _decode(data: bytes, position: str) -> str | None:
         return f"{type(e).__name__}: {e}"
 
 
-def walk_boxes(data: bytes) -> str | None:
-    """Error in the top-level boxes of an MP4 file, None if they fill the file and hold movie and media; says nothing about the frames."""
+def walk_boxes(file: BinaryIO, end: int) -> str | None:
+    """Error in the top-level boxes of an MP4 file of `end` bytes, None if they fill it and hold movie and media.
+
+    Reads the boxes' headers only, and says nothing about the frames.
+    """
     at, names = 0, []
-    while at < len(data):
-        if at + 8 > len(data):
+    while at < end:
+        file.seek(at)
+        head = file.read(16)
+        if len(head) < 8:
             return "the file ends inside a box header"
-        size, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        size, name = int.from_bytes(head[:4], "big"), bytes(head[4:8])
         if size == 1:
-            if at + 16 > len(data):
+            if len(head) < 16:
                 return "the file ends inside a box header"
-            size = int.from_bytes(data[at + 8 : at + 16], "big")
+            size = int.from_bytes(head[8:16], "big")
         elif size == 0:
-            size = len(data) - at
+            size = end - at
         if size < 8 or not all(32 <= c < 127 for c in name):
             return "no MP4 box"
-        if at + size > len(data):
+        if at + size > end:
             return f"box {name.decode()} is cut off"
         names.append(name)
         at += size
@@ -68,16 +73,15 @@ def walk_boxes(data: bytes) -> str | None:
     return None
 
 
-def _try(root: str, decoder: str):
+def _try(root: str, decoder: str) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = filesystem(root)
         for b in batches:
             rows = []
             for path in b.column("path").to_pylist():
                 try:
-                    with system.open_input_stream(posixpath.join(base, path)) as f:
-                        data = bytes(f.read())
-                    said = [_decode(data, p) for p in POSITIONS] if decoder == "av" else [walk_boxes(data)] * len(POSITIONS)
+                    with system.open_input_file(posixpath.join(base, path)) as f:
+                        said = [_decode(f, p) for p in POSITIONS] if decoder == "av" else [walk_boxes(f, f.size())] * len(POSITIONS)
                 except OSError as e:
                     said = [f"{type(e).__name__}: {e}"[:200]] * len(POSITIONS)
                 rows.append((path, said))

@@ -141,6 +141,6 @@ def orphan_references(frames: DataFrame, video_segments: DataFrame, episodes: Da
 
 
 def orphan_report(frames: DataFrame, video_segments: DataFrame, episodes: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Rows of each table and month whose reference is bad, by kind; every row counts, resent ones too."""
+    """Per table, month and kind: the different bad references and the different keys they name."""
     bad = orphan_references(frames, video_segments, episodes, tasks)
     return bad.groupBy("src_table", "ref_table", "period", "kind").agg(F.count(F.lit(1)).alias("refs"), F.countDistinct("dataset_id", "ref_key").alias("keys"))

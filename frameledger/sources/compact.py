@@ -31,12 +31,29 @@ def planned_rows(frames: DataFrame, plan: DataFrame) -> DataFrame:
     return frames.join(p, keys).filter("position >= from_frame and position < to_frame").drop("from_frame", "to_frame")
 
 
+def _publish(system: fs.FileSystem, staged: str, path: str) -> None:
+    said = b"counts and checksums verified\n"
+    atomic = system.type_name in ("local", "hdfs")
+    with system.open_output_stream(posixpath.join(staged, _COMMITTED)) as f:
+        f.write(said)
+    if atomic:
+        system.move(staged, path)
+        return
+    for i in system.get_file_info(fs.FileSelector(staged, recursive=True)):
+        if i.type == fs.FileType.File and i.base_name != _COMMITTED:
+            system.copy_file(i.path, path + i.path[len(staged) :])
+    with system.open_output_stream(posixpath.join(path, _COMMITTED)) as f:
+        f.write(said)
+    system.delete_dir(staged)
+
+
 def rewrite(rows: DataFrame, out: str) -> DataFrame:
     """Writes rows, one file per (dataset_id, bin_group, bin_no), to `out`, which appears complete or not at all; gives the manifest.
 
     The bins are written beside `out`, read back and compared with what was to be written; only if
     counts and checksums agree for every bin is the folder renamed, so a lost executor or a wrong
-    copy leaves nothing behind that readers could take for data.
+    copy leaves nothing behind that readers could take for data. On stores without an atomic rename the
+    files are copied and the marker file comes last; there the folder is complete once it holds that.
     """
     keys = ["dataset_id", "bin_group", "bin_no"]
     system, path = filesystem(out)
@@ -55,9 +72,7 @@ def rewrite(rows: DataFrame, out: str) -> DataFrame:
         if bad:
             raise RepairError(f"bins differ from their source: {[tuple(r[k] for k in keys) for r in bad]}")
         base = filesystem(staged)[1]
-        with system.open_output_stream(posixpath.join(base, _COMMITTED)) as f:
-            f.write(b"counts and checksums verified\n")
-        system.move(base, path)
+        _publish(system, base, path)
     except BaseException:
         system.delete_dir(filesystem(staged)[1]) if system.get_file_info([filesystem(staged)[1]])[0].type == fs.FileType.Directory else None
         raise

@@ -38,6 +38,7 @@ class TrajectoryDataset:
     segments: DataFrame
     is_remote: bool = False
     kept: list[DataFrame] = field(default_factory=list)
+    shared: dict[str, DataFrame] = field(default_factory=dict)  # what checks leave for each other
 
     @property
     def features(self) -> list[Feature]:
@@ -141,7 +142,7 @@ def _as(name: str, spark: str | None):
     if spark is None:
         return F.lit(None)
     if spark.startswith("array<"):
-        while spark.startswith("array<array<"):
+        if spark.startswith("array<array<"):
             raise CheckExecutionError(f"column {name!r} holds nested lists")
         return c.cast("array<string>") if "string" in spark else c.cast("array<double>")
     if spark == "boolean":

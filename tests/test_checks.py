@@ -1,5 +1,6 @@
 """Each check on clean and faulty datasets."""
 
+import io
 import json
 import math
 
@@ -304,10 +305,11 @@ def test_engine_and_registry():
 
 
 def test_boxes():
+    walk = lambda b: walk_boxes(io.BytesIO(b), len(b))
     ok = b"\x00\x00\x00\x08ftyp\x00\x00\x00\x08moov\x00\x00\x00\x00mdat1234"
-    assert walk_boxes(ok) is None
-    assert "cut off" in walk_boxes(ok[:8] + b"\x00\x00\x00\x20moov")
-    assert "no box" in walk_boxes(ok[:16])
+    assert walk(ok) is None
+    assert "cut off" in walk(ok[:8] + b"\x00\x00\x00\x20moov")
+    assert "no box" in walk(ok[:16])
 
 
 def test_details_are_json(spark, tmp_path):
