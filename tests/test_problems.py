@@ -141,6 +141,15 @@ def test_schema_changes(spark):
     assert table[2, 2].n_features == 2
 
 
+def test_rename_of_equal_values_is_no_rule(spark):
+    bodies = ['{"fps": 30, "robot_type": "a"}', '{"total_episodes": 30, "robot": "a"}', '{"total_episodes": 31, "bot": "a"}']
+    info = spark.createDataFrame([(i, 1, "x", i, day(i), t) for i, t in enumerate(bodies)], INFO)
+    assert schema_drift.rename_rules(schema_drift.info_schemas(info)) == {"robot": "robot_type", "bot": "robot_type"}
+    got = {r.revision: r for r in schema_drift.consistent_table(info, spark.createDataFrame([], TASK)).collect()}
+    assert [got[i].robot_type for i in range(3)] == ["a", "a", "a"]
+    assert [got[i].fps for i in range(3)] == [30.0, None, None]
+
+
 def test_deep_and_long_bodies():
     assert schema_drift._described("[" * 100_000) is None
     assert [f["type"] for f in schema_drift._described('{"a": 1' + "0" * 3000 + ', "b": "' + "x" * 100_000 + '", "c": 1e999}')] == ["number", "string", "number"]
