@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameledger.operators.common import cut, previous_row
+from frameledger.operators.common import broadcast_if_small, cut, previous_row
 
 #: Sibling blocks are merged this many levels at a time, as bits of one bigint.
 STEP = 6
@@ -46,16 +46,21 @@ def decompose(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     return df.filter(F.col(lo) < F.col(hi)).withColumn("_b", F.explode(F.flatten(F.transform(levels, at)))).select(*df.columns, "_b.level", "_b.block")
 
 
-def _levels(blocks: DataFrame) -> list[int]:
-    """The levels that occur, at most 63."""
-    return sorted(r.level for r in blocks.select("level").distinct().collect())
+def _with_levels(df: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with `_levels`, the levels (at most 63) that occur in the row's group.
+
+    A row per group is broadcast once their number is checked, so that no group is gathered in one
+    task; with more groups than that it is an ordinary join.
+    """
+    levels = blocks.groupBy(*keys).agg(F.collect_set("level").alias("_levels"))
+    return df.join(broadcast_if_small(levels, 100_000), list(keys))
 
 
 def uncovered(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of distinct blocks (keys, level, block) those of which no ancestor is among them."""
     keys = list(keys)
-    up = F.filter(F.array(*map(F.lit, _levels(blocks))).cast("array<int>"), lambda x: x > F.col("level"))
-    above = blocks.select("*", F.explode(up).alias("_l")).select(*keys, "level", "block", "_l", _floor_shift(F.col("block"), F.col("_l") - F.col("level")).alias("_a"))
+    up = F.filter("_levels", lambda x: x > F.col("level"))
+    above = _with_levels(blocks, blocks, keys).select("*", F.explode(up).alias("_l")).select(*keys, "level", "block", "_l", _floor_shift(F.col("block"), F.col("_l") - F.col("level")).alias("_a"))
     parents = blocks.select(*keys, F.col("level").alias("_l"), F.col("block").alias("_a"))
     covered = above.join(parents, [*keys, "_l", "_a"], "left_semi").select(*keys, "level", "block").distinct()
     return blocks.join(covered, [*keys, "level", "block"], "left_anti")
@@ -131,8 +136,7 @@ def overlaps(intervals: DataFrame, keys: Sequence[str], member: str) -> DataFram
     keys = list(keys)
     i = intervals.select(*keys, F.col(member).alias("_m"), "lo", "hi").filter("lo < hi").distinct()
     blocks = decompose(i).select(*keys, F.col("_m").alias("_p"), "level", "block")
-    levels = F.array(*map(F.lit, _levels(blocks))).cast("array<int>")
-    starts = i.select(*keys, "_m", "lo").distinct().select(*keys, "_m", "lo", F.explode(levels).alias("level"))
+    starts = _with_levels(i.select(*keys, "_m", "lo").distinct(), blocks, keys).select(*keys, "_m", "lo", F.explode("_levels").alias("level"))
     starts = starts.select(*keys, "_m", "level", _floor_shift(F.col("lo"), F.col("level")).alias("block"))
     pairs = blocks.join(starts, [*keys, "level", "block"]).filter("_p <> _m")
     return pairs.select(*keys, F.least("_p", "_m").alias("a"), F.greatest("_p", "_m").alias("b")).distinct()
