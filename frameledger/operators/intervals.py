@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameledger.operators.common import broadcast_if_small, cut, previous_row
 
 #: Sibling blocks are merged this many levels at a time, as bits of one bigint.
 STEP = 6
+#: Ancestors up to this level are found within cells of 2**CELL units.
+CELL = 16
 
 
 def _floor_shift(x: Column, by: Column) -> Column:
@@ -57,13 +59,28 @@ def _with_levels(df: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def uncovered(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of distinct blocks (keys, level, block) those of which no ancestor is among them."""
+    """Of distinct blocks (keys, level, block) those of which no ancestor is among them.
+
+    Blocks are nested or apart. Sorted by start, larger ones first, a block has an ancestor before it
+    just if some block before it reaches its end: that settles ancestors below level CELL, in cells of
+    2**CELL units, each with a bounded number of different blocks. The few larger blocks are looked up
+    by their number.
+    """
     keys = list(keys)
+    lo, hi = F.call_function("shiftleft", F.col("block"), F.col("level")), F.call_function("shiftleft", F.col("block") + 1, F.col("level"))
+    cell = _floor_shift(F.col("block"), F.lit(CELL) - F.col("level"))
+    before = Window.partitionBy(*keys, "_cell").orderBy("_lo", F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    low = blocks.filter(F.col("level") < CELL).select(*keys, "level", "block", cell.alias("_cell"), lo.alias("_lo"), hi.alias("_hi"))
+    low = low.withColumn("_reach", F.max("_hi").over(before)).filter("_reach is null or _reach < _hi").select(*keys, "level", "block")
+    high = blocks.filter(F.col("level") >= CELL).select(*keys, "level", "block")
+    if high.isEmpty():
+        return low
+    rest = low.unionByName(high)
     up = F.filter("_levels", lambda x: x > F.col("level"))
-    above = _with_levels(blocks, blocks, keys).select("*", F.explode(up).alias("_l")).select(*keys, "level", "block", "_l", _floor_shift(F.col("block"), F.col("_l") - F.col("level")).alias("_a"))
-    parents = blocks.select(*keys, F.col("level").alias("_l"), F.col("block").alias("_a"))
+    above = _with_levels(rest, high, keys).select("*", F.explode(up).alias("_l")).select(*keys, "level", "block", "_l", _floor_shift(F.col("block"), F.col("_l") - F.col("level")).alias("_a"))
+    parents = high.select(*keys, F.col("level").alias("_l"), F.col("block").alias("_a"))
     covered = above.join(parents, [*keys, "_l", "_a"], "left_semi").select(*keys, "level", "block").distinct()
-    return blocks.join(covered, [*keys, "level", "block"], "left_anti")
+    return rest.join(covered, [*keys, "level", "block"], "left_anti")
 
 
 def merge_siblings(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
