@@ -11,13 +11,13 @@ from __future__ import annotations
 import json
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from frameledger.operators.common import cut, previous_row, small_enough
+from frameledger.operators.common import cut, previous_row
 
 _FIELDS = "array<struct<scope:string,field:string,type:string,shape:string,same:string,value:string>>"
 _FIELD_TYPE = pa.list_(pa.struct([(x, pa.string()) for x in ("scope", "field", "type", "shape", "same", "value")]))
@@ -55,7 +55,7 @@ def _object(text: str | None) -> dict | None:
 
 
 def describe(body: dict) -> list[dict]:
-    """Fields of an info body; a key with value null is absent, and so is a feature."""
+    """Fields of an info body; a key with value null is absent, and so is a feature. A feature's value is what it has besides dtype and shape."""
     # a version given as a number reads as text: 3 and 3.0 both as 3.0
     text = lambda k, v: v if isinstance(v, str) else repr(float(v)) if k == "codebase_version" and json_type(v) == "number" and abs(v) < 1e15 else canonical(v)
     out = [{"scope": "info", "field": k, "type": json_type(v), "shape": None, "same": canonical(v), "value": text(k, v)} for k, v in body.items() if v is not None]
@@ -65,7 +65,8 @@ def describe(body: dict) -> list[dict]:
             continue
         dtype, shape = (v.get("dtype"), v.get("shape")) if isinstance(v, dict) else (json_type(v), None)
         dtype, shape = dtype if isinstance(dtype, str) else canonical(dtype), canonical(shape)
-        out.append({"scope": "feature", "field": k, "type": dtype, "shape": shape, "same": f"{dtype} {shape}", "value": None})
+        rest = {a: x for a, x in v.items() if a not in ("dtype", "shape")} if isinstance(v, dict) else v
+        out.append({"scope": "feature", "field": k, "type": dtype, "shape": shape, "same": f"{dtype} {shape}", "value": None if rest == {} else canonical(rest)})
     for x in out:
         x["field"] = x["field"].encode("utf-8", "replace").decode()
         for k in ("type", "shape", "same", "value"):
@@ -172,6 +173,32 @@ def _labelled(d: DataFrame) -> DataFrame:
 #: Columns of the consistent table and their types; defaults where a revision lacks the field.
 TARGET = {"codebase_version": "string", "fps": "double", "total_episodes": "bigint", "total_frames": "bigint", "robot_type": "string"}
 DEFAULTS: dict[str, str] = {"robot_type": "unknown"}
+#: The same for task records, and the name that layouts give the text, which goes before `task` where a record has both.
+TASK_TARGET = {"task_index": "bigint", "task": "string"}
+TASK_TEXT = "__index_level_0__"
+_OTHER = "array<struct<name:string,type:string,value:string>>"
+_FEATURES = "array<struct<name:string,dtype:string,shape:string,rest:string>>"
+_INFO_TYPE = pa.list_(pa.struct([(x, pa.string()) for x in ("name", "type", "value")]))
+_FEATURE_TYPE = pa.list_(pa.struct([(x, pa.string()) for x in ("name", "dtype", "shape", "rest")]))
+
+
+def _renames(schemas: DataFrame, scopes: Sequence[str], max_rules: int) -> list[Row]:
+    """scope, field, new_field, n: the different renames of all repositories, the most frequent first; more than max_rules of a scope are an error."""
+    d = _labelled(_differences(schemas.select("repo_id", "revision", "fields"))).filter(F.col("scope").isin(*scopes) & (F.col("change") == "renamed"))
+    got = d.groupBy("scope", "field", "new_field").agg(F.count(F.lit(1)).alias("n")).limit(len(scopes) * max_rules + 1).collect()
+    if got and Counter(r.scope for r in got).most_common(1)[0][1] > max_rules:
+        raise ValueError(f"more than {max_rules} different renames")
+    return sorted(got, key=lambda r: (-r.n, r.field, r.new_field))
+
+
+def _rules(renames: Iterable[tuple[str, str]], target: dict[str, str]) -> dict[str, str]:
+    """name -> column of target; a rename that would make two columns one is no rule."""
+    field: dict[str, set[str]] = {}
+    for old, new in renames:
+        both = field.get(old, {old}) | field.get(new, {new})
+        if len(both & target.keys()) < 2:
+            field |= dict.fromkeys(both, both)
+    return {old: new for old, names in field.items() for new in names & target.keys() if old != new}
 
 
 def rename_rules(schemas: DataFrame, max_rules: int = 10_000) -> dict[str, str]:
@@ -182,42 +209,150 @@ def rename_rules(schemas: DataFrame, max_rules: int = 10_000) -> dict[str, str]:
     of different renames is a property of the format, not of the data's size; more than max_rules of
     them are an error, not cut off. schemas as from info_schemas.
     """
-    d = _labelled(_differences(schemas.select("repo_id", "revision", "fields"))).filter("scope = 'info' and change = 'renamed'")
-    pairs = d.groupBy("field", "new_field").agg(F.count(F.lit(1)).alias("n"))
-    if not small_enough(pairs, max_rules):
-        raise ValueError(f"more than {max_rules} different renames")
-    field: dict[str, set[str]] = {}
-    for r in sorted(pairs.collect(), key=lambda r: (-r.n, r.field, r.new_field)):
-        both = field.get(r.field, {r.field}) | field.get(r.new_field, {r.new_field})
-        if len(both & TARGET.keys()) < 2:
-            field |= dict.fromkeys(both, both)
-    return {old: new for old, names in field.items() for new in names & TARGET.keys() if old != new}
+    return _rules([(r.field, r.new_field) for r in _renames(schemas, ("info",), max_rules)], TARGET)
 
 
-def consistent_table(info_files: DataFrame, task_records: DataFrame) -> DataFrame:
-    """One row per revision with a readable body: repo_id, revision, file_id, the TARGET columns, n_features, n_task_keys (of its task records, null without a readable one) and `applied`, the rules used.
+def feature_rules(schemas: DataFrame, renames: Sequence[Row], max_pairs: int = 1_000_000) -> dict[str, str]:
+    """name -> the name of the same feature that most revisions have (of equals the first), from renames (field, new_field, n) found in all repositories.
 
-    Every field passes the chain rename, default, cast; applied lists them as 'rename a -> b',
-    'default b' and 'cast b'. A value that cannot be cast is null.
+    Names renamed into each other are one feature, the most frequent renames first, if they were
+    renamed more often than they stand side by side in a revision; others, alike in dtype and shape
+    only, stay apart. More than max_pairs pairs side by side are an error. schemas as from info_schemas.
     """
-    s = cut(info_schemas(info_files))
-    renames = rename_rules(s)
-    value = F.map_from_arrays(F.transform("info", lambda x: x["field"]), F.transform("info", lambda x: x["value"]))
-    kind = F.map_from_arrays(F.transform("info", lambda x: x["field"]), F.transform("info", lambda x: x["type"]))
-    s = s.withColumn("info", F.filter("fields", lambda x: x["scope"] == "info")).withColumns({"v": value, "k": kind})
+    names = {x for r in renames for x in (r.field, r.new_field)}
+    if not names:
+        return {}
+    mine = F.transform(F.filter("fields", lambda x: x["scope"] == "feature"), lambda x: x["field"])
+    here = F.array_intersect(mine, F.from_json(F.lit(json.dumps(sorted(names))), "array<string>"))
+    pairs = schemas.select(here.alias("h")).select("h", F.explode("h").alias("a")).select("a", F.explode("h").alias("b")).filter("a <= b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    got = pairs.limit(max_pairs + 1).collect()
+    if len(got) > max_pairs:
+        raise ValueError(f"more than {max_pairs} pairs of renamed features")
+    beside = Counter({(r.a, r.b): r.n for r in got})
+    moved: Counter = Counter()
+    for r in renames:
+        moved[min(r.field, r.new_field), max(r.field, r.new_field)] += r.n
+    one = {x: {x} for x in names}
+    for (a, b), _ in sorted(moved.items(), key=lambda x: (-x[1], x[0])):
+        x, y = one[a], one[b]
+        cross = [(min(p, q), max(p, q)) for p in x for q in y] if x is not y else []
+        if sum(moved[c] for c in cross) > sum(beside[c] for c in cross):
+            x |= y
+            one |= dict.fromkeys(y, x)
+    ends = {x: min(c, key=lambda p: (-beside[p, p], p)) for x, c in one.items()}
+    return {x: end for x, end in ends.items() if x != end}
+
+
+def _renamed(features: list[dict], rules: dict[str, str]) -> tuple[list[dict], list[str]]:
+    """Features under the rules' names and the renames used; where two would get one name, the one that has it, else the first, and the others keep theirs."""
+    taken = {x["field"] for x in features}
     out, notes = [], []
-    for name, to in TARGET.items():
+    for x in features:
+        name = x["field"]
+        if (to := rules.get(name, name)) not in taken:
+            taken.add(to)
+            notes.append(f"rename feature {name} -> {to}")
+            name = to
+        out.append({"name": name, "dtype": x["type"], "shape": x["shape"], "rest": x["value"]})
+    return sorted(out, key=lambda x: x["name"]), notes
+
+
+def _divided(rules: dict[str, str]) -> Callable:
+    """Fields of bodies divided into info keys (features aside, if they are an object) and features under the rules' names."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = b.column("fields").to_pylist()
+            info = [[{"name": x["field"], "type": x["type"], "value": x["value"]} for x in f if x["scope"] == "info" and (x["field"], x["type"]) != ("features", "object")] for f in got]
+            features = [_renamed([x for x in f if x["scope"] == "feature"], rules) for f in got]
+            cols = [pa.array(info, _INFO_TYPE), pa.array([x for x, _ in features], _FEATURE_TYPE), pa.array([x for _, x in features], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("repo_id", "revision", "file_id")), *cols], names=["repo_id", "revision", "file_id", "info", "features", "moved"])
+
+    return run
+
+
+def _chained(target: dict[str, str], defaults: dict[str, str], renames: dict[str, str], first: Sequence[str] = ()) -> tuple[list[Column], Column, list[Column]]:
+    """The columns of target from `info` (fields by name, type and value) and its maps v and k, the fields they do not hold as they are, and notes.
+
+    Of several names the target's goes first, or those in `first`.
+    """
+    out, held, notes = [], [], []
+    for name, to in target.items():
         old = sorted(o for o, n in renames.items() if n == name)
-        used = F.coalesce(*(F.when(F.element_at("v", F.lit(o)).isNotNull(), F.lit(o)) for o in [name, *old]))
+        order = [*(o for o in old if o in first), name, *(o for o in old if o not in first)]
+        used = F.coalesce(*(F.when(F.element_at("v", F.lit(o)).isNotNull(), F.lit(o)) for o in order))
         raw = F.element_at("v", used)
         if name == "codebase_version":  # 'v3.0', '3.0' and 3.0 are one version
             raw = F.concat(F.lit("v"), F.regexp_replace(raw, "^v", ""))
         cast = raw if to == "string" else raw.try_cast("double").try_cast(to) if to == "bigint" else raw.try_cast(to)
-        out.append(F.coalesce(cast, F.lit(DEFAULTS[name])) if name in DEFAULTS else cast)
+        out.append(F.coalesce(cast, F.lit(defaults[name])) if name in defaults else cast)
         out[-1] = out[-1].alias(name)
+        whole = cast == raw.try_cast("double") if to == "bigint" else cast.isNotNull()
+        held.append(F.when(whole, used))
         number = F.element_at("k", used) == "number"
         notes += [F.when(used != name, F.concat(F.lit("rename "), used, F.lit(f" -> {name}"))), F.when(used.isNull(), f"default {name}"), F.when(number == F.lit(to == "string"), f"cast {name}")]
-    n_features = F.size(F.filter("fields", lambda x: x["scope"] == "feature")).cast("bigint").alias("n_features")
+    other = F.filter("info", lambda x: ~F.coalesce(F.array_contains(F.array(*held), x["name"]), F.lit(False)))
+    return out, other.alias("other"), notes
+
+
+def _mapped(d: DataFrame) -> DataFrame:
+    names = F.transform("info", lambda x: x["name"])
+    return d.withColumns({"v": F.map_from_arrays(names, F.transform("info", lambda x: x["value"])), "k": F.map_from_arrays(names, F.transform("info", lambda x: x["type"]))})
+
+
+def _listed(*notes: Column) -> Column:
+    return F.filter(F.array(*notes), lambda x: x.isNotNull())
+
+
+def consistent_table(info_files: DataFrame, task_records: DataFrame) -> DataFrame:
+    """One row per revision with a readable body: repo_id, revision, file_id, the TARGET columns, other, features, n_features, n_task_keys (of its task records, null without a readable one) and `applied`, the rules used.
+
+    Every field passes the chain rename, default, cast; applied lists them as 'rename a -> b',
+    'rename feature a -> b', 'default b' and 'cast b'. A value that cannot be cast is null. `other`
+    holds every info key that no column holds whole (name, type, value; JSON text unless a string),
+    `features` each feature (name, dtype, shape, rest: JSON text of what else it declares). The task
+    records stand in task_table.
+    """
+    s = cut(info_schemas(info_files))
+    renames = _renames(s, ("info", "feature"), 10_000)
+    moves = feature_rules(s, [r for r in renames if r.scope == "feature"])
+    s = s.select("repo_id", "revision", "file_id", "fields").mapInArrow(_divided(moves), f"repo_id bigint, revision bigint, file_id bigint, info {_OTHER}, features {_FEATURES}, moved array<string>")
+    out, other, notes = _chained(TARGET, DEFAULTS, _rules([(r.field, r.new_field) for r in renames if r.scope == "info"], TARGET))
     tasks = task_schemas(task_records).select("repo_id", "revision", F.size("fields").cast("bigint").alias("n_task_keys"))
-    s = s.join(tasks, ["repo_id", "revision"], "left")
-    return s.select("repo_id", "revision", "file_id", *out, n_features, "n_task_keys", F.concat_ws("; ", F.filter(F.array(*notes), lambda x: x.isNotNull())).alias("applied"))
+    s = _mapped(s).join(tasks, ["repo_id", "revision"], "left")
+    applied = F.concat_ws("; ", _listed(*notes), "moved").alias("applied")
+    return s.select("repo_id", "revision", "file_id", *out, other, "features", F.size("features").cast("bigint").alias("n_features"), "n_task_keys", applied)
+
+
+def _record(text: str | None) -> list[dict] | None:
+    """Fields of a task record; None for one that is no JSON object or nested too deep to be read."""
+    try:
+        if (x := _object(text)) is None:
+            return None
+        plain = lambda s: s.encode("utf-8", "replace").decode()
+        return sorted(({"name": plain(k), "type": json_type(v), "value": plain(v if isinstance(v, str) else canonical(v))} for k, v in x.items() if v is not None), key=lambda x: x["name"])
+    except RecursionError:
+        return None
+
+
+def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [_record(x) for x in b.column("record").to_pylist()]
+        keep = pa.array([x is not None for x in got], pa.bool_())
+        info = pa.array([x for x in got if x is not None], _INFO_TYPE)
+        yield pa.RecordBatch.from_arrays([*(b.column(c).filter(keep) for c in ("repo_id", "revision", "line_no")), info], names=["repo_id", "revision", "line_no", "info"])
+
+
+def task_table(task_records: DataFrame) -> DataFrame:
+    """One row per readable task record: repo_id, revision, line_no, the TASK_TARGET columns, other and `applied`, as in consistent_table.
+
+    The renames are those found between the revisions of all repositories, and TASK_TEXT -> task.
+    Lines repeated with equal content count once.
+    """
+    long = [F.col(c).cast("bigint").alias(c) for c in ("repo_id", "revision", "line_no")]
+    rows = task_records.select(*long, "record").filter("repo_id is not null and revision is not null and record is not null")
+    d = rows.mapInArrow(_records, f"repo_id bigint, revision bigint, line_no bigint, info {_OTHER}").distinct()
+    found = _renames(task_schemas(task_records), ("task",), 10_000)
+    rules = _rules([(TASK_TEXT, "task"), *((r.field, r.new_field) for r in found)], TASK_TARGET)
+    out, other, notes = _chained(TASK_TARGET, {}, rules, (TASK_TEXT,))
+    return _mapped(d).select("repo_id", "revision", "line_no", *out, other, F.concat_ws("; ", _listed(*notes)).alias("applied"))

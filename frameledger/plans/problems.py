@@ -35,6 +35,11 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.consistent_table(read(spark, d, "info_files"), read(spark, d, "task_records"))
 
 
+def p3_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The task records of the revisions in p3_table."""
+    return schema_drift.task_table(read(spark, d, "task_records"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return compaction.superfluous_pieces(read(spark, d, "data_shards"))
 
@@ -56,7 +61,7 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods(i, intervals.KEYS).withColumnsRenamed({"lo": "a", "hi": "b"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p3_found, p3_table, p4_found, p4_plan, p5_found, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p3_found, p3_table, p3_tasks, p4_found, p4_plan, p5_found, p6_found, p6_periods)}
 
 _P1 = """
 WITH refs AS (

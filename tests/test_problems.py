@@ -150,6 +150,29 @@ def test_rename_of_equal_values_is_no_rule(spark):
     assert [got[i].fps for i in range(3)] == [30.0, None, None]
 
 
+def test_table_keeps_features_other_keys_and_tasks(spark):
+    bodies = [
+        '{"fps": 30, "robot": 5, "total_frames": "many", "license": "mit", "splits": {"train": "0:9"}, "features": {"t": {"dtype": "float32", "shape": [1.0], "names": ["s"]}, "a": {"dtype": "float32", "shape": [2]}, "b": {"dtype": "float32", "shape": [2]}}}',
+        '{"features": {"time": {"dtype": "float32", "shape": [1]}, "b": {"dtype": "float32", "shape": [2]}, "c": {"dtype": "float32", "shape": [2]}}}',
+        '{"features": {"a": {"dtype": "float32", "shape": [2]}, "c": {"dtype": "float32", "shape": [2]}, "time": {"dtype": "float32", "shape": [1]}}}',
+        '{"features": {"a": {"dtype": "float32", "shape": [2]}, "c": {"dtype": "float32", "shape": [2]}, "time": {"dtype": "float32", "shape": [1]}}}',
+    ]
+    info = spark.createDataFrame([(i, 1, "x", i, day(i), t) for i, t in enumerate(bodies)], INFO)
+    got = {r.revision: r for r in schema_drift.consistent_table(info, spark.createDataFrame([], TASK)).collect()}
+    assert [tuple(x) for x in got[0].other] == [("license", "string", "mit"), ("robot", "number", "5"), ("splits", "object", '{"train": "0:9"}'), ("total_frames", "string", "many")]
+    assert [tuple(x) for x in got[0].features] == [("a", "float32", "[2]", None), ("b", "float32", "[2]", None), ("time", "float32", "[1]", '{"names": ["s"]}')]
+    assert got[0].applied.endswith("; rename feature t -> time")
+    assert {r: [x.name for x in got[r].features] for r in (1, 2, 3)} == {1: ["b", "c", "time"], 2: ["a", "c", "time"], 3: ["a", "c", "time"]}  # a and c stand side by side
+    recs = ['{"task_index": 0, "task": "x"}', '{"task_index": "1", "__index_level_0__": "y", "priority": 2}', '{"__index_level_0__": "y", "task": "z", "task_index": 1.5}', "{broken", "[]", '{"task": null}']
+    tasks = spark.createDataFrame([(1, 1, i, DAY, t) for i, t in enumerate(recs)] + [(1, 1, 0, day(1), '{"task": "x", "task_index": 0.0}'), (None, 1, 0, DAY, "{}")], TASK)
+    assert [(*r[:5], [tuple(x) for x in r.other], r.applied) for r in sorted(schema_drift.task_table(tasks).collect(), key=lambda r: r.line_no)] == [
+        (1, 1, 0, 0, "x", [], ""),
+        (1, 1, 1, 1, "y", [("priority", "number", "2")], "cast task_index; rename __index_level_0__ -> task"),
+        (1, 1, 2, 1, "y", [("task", "string", "z"), ("task_index", "number", "1.5")], "rename __index_level_0__ -> task"),
+        (1, 1, 5, None, None, [], "default task_index; default task"),
+    ]
+
+
 def test_deep_and_long_bodies():
     assert schema_drift._described("[" * 100_000) is None
     assert [f["type"] for f in schema_drift._described('{"a": 1' + "0" * 3000 + ', "b": "' + "x" * 100_000 + '", "c": 1e999}')] == ["number", "string", "number"]
