@@ -304,14 +304,15 @@ def _listed(*notes: Column) -> Column:
     return F.filter(F.array(*notes), lambda x: x.isNotNull())
 
 
-def consistent_table(info_files: DataFrame, task_records: DataFrame) -> DataFrame:
-    """One row per revision with a readable body: repo_id, revision, file_id, the TARGET columns, other, features, n_features, n_task_keys (of its task records, null without a readable one) and `applied`, the rules used.
+def consistent_table(info_files: DataFrame, task_records: DataFrame, all_revisions: bool = False) -> DataFrame:
+    """One row per revision with a readable body, or with all_revisions also per one with readable task records only: repo_id, revision, file_id, the TARGET columns, other, features, n_features, n_task_keys (of its task records, null without a readable one) and `applied`, the rules used.
 
     Every field passes the chain rename, default, cast; applied lists them as 'rename a -> b',
     'rename feature a -> b', 'default b' and 'cast b'. A value that cannot be cast is null. `other`
     holds every info key that no column holds whole (name, type, value; JSON text unless a string),
     `features` each feature (name, dtype, shape, rest: JSON text of what else it declares). The task
-    records stand in task_table.
+    records stand in task_table. Without a body, applied begins with 'no body', the columns have their
+    defaults and the rest is null.
     """
     s = cut(info_schemas(info_files))
     renames = _renames(s, ("info", "feature"), 10_000)
@@ -319,8 +320,8 @@ def consistent_table(info_files: DataFrame, task_records: DataFrame) -> DataFram
     s = s.select("repo_id", "revision", "file_id", "fields").mapInArrow(_divided(moves), f"repo_id bigint, revision bigint, file_id bigint, info {_OTHER}, features {_FEATURES}, moved array<string>")
     out, other, notes = _chained(TARGET, DEFAULTS, _rules([(r.field, r.new_field) for r in renames if r.scope == "info"], TARGET))
     tasks = task_schemas(task_records).select("repo_id", "revision", F.size("fields").cast("bigint").alias("n_task_keys"))
-    s = _mapped(s).join(tasks, ["repo_id", "revision"], "left")
-    applied = F.concat_ws("; ", _listed(*notes), "moved").alias("applied")
+    s = _mapped(s).join(tasks, ["repo_id", "revision"], "full" if all_revisions else "left")
+    applied = F.concat_ws("; ", F.when(F.col("info").isNull(), "no body"), _listed(*notes), "moved").alias("applied")
     return s.select("repo_id", "revision", "file_id", *out, other, "features", F.size("features").cast("bigint").alias("n_features"), "n_task_keys", applied)
 
 

@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.consistent_table(read(spark, d, "info_files"), read(spark, d, "task_records"))
+    return schema_drift.consistent_table(read(spark, d, "info_files"), read(spark, d, "task_records"), all_revisions=True)
 
 
 def p3_tasks(spark: SparkSession, d: str) -> DataFrame:

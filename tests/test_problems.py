@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameledger.operators import common, compaction, intervals, orphans, regrid, schema_drift, series, spikes
+from frameledger.plans import problems
 from frameledger.sources.compact import fingerprint, planned_rows, rewrite
 from frameledger.errors import RepairError
 
@@ -173,6 +174,18 @@ def test_table_keeps_features_other_keys_and_tasks(spark):
     ]
 
 
+def test_table_of_revisions_without_a_body(spark, tmp_path):
+    spark.createDataFrame([(0, 1, "x", 1, DAY, '{"fps": 30, "robot_type": "a"}'), (1, 1, "x", 2, DAY, "not json")], INFO).write.parquet(f"{tmp_path}/info_files.parquet")
+    spark.createDataFrame([(1, 2, 0, DAY, '{"task_index": 0, "task": "x"}'), (2, 1, 0, DAY, "{}"), (2, 2, 0, DAY, "{broken")], TASK).write.parquet(f"{tmp_path}/task_records.parquet")
+    got = {(r.repo_id, r.revision): r for r in problems.p3_table(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 1)}
+    r = got[1, 2]
+    assert (r.file_id, r.fps, r.robot_type, r.other, r.features, r.n_features, r.n_task_keys) == (None, None, "unknown", None, None, None, 2)
+    assert r.applied == "no body; default codebase_version; default fps; default total_episodes; default total_frames; default robot_type"
+    assert got[2, 1].n_task_keys == 0
+    assert "no body" not in got[1, 1].applied
+
+
 def test_deep_and_long_bodies():
     assert schema_drift._described("[" * 100_000) is None
     assert [f["type"] for f in schema_drift._described('{"a": 1' + "0" * 3000 + ', "b": "' + "x" * 100_000 + '", "c": 1e999}')] == ["number", "string", "number"]
