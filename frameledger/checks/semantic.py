@@ -13,7 +13,7 @@ from frameledger.sources.info import Feature
 from frameledger.sources.loader import TrajectoryDataset
 from frameledger.verdict import CheckResult, Severity
 
-_SAMPLE, MOST = 5, 10_000
+_SAMPLE = 5
 
 
 @check("SEMANTIC.FEATURE_DIMENSIONALITY", Severity.FAIL)
@@ -53,8 +53,8 @@ def task_integrity(ds: TrajectoryDataset, ctx: CheckContext) -> CheckResult:
     used = ds.core(["task_index"])
     if not used.filter("task_index is null").isEmpty():
         raise CheckExecutionError("a null task_index")
-    lost = undefined(used, ds.tasks, ["task_index"]).orderBy("task_index").limit(MOST).collect()
-    blank = ds.tasks.filter(is_blank(F.col("task"))).orderBy("ord").limit(MOST).collect()
+    lost = undefined(used, ds.tasks, ["task_index"]).orderBy("task_index").toLocalIterator()
+    blank = ds.tasks.filter(is_blank(F.col("task"))).orderBy("ord").toLocalIterator()
     items = [f"task_index {r.task_index} of frames is not in the task table" for r in lost] + [f"task_index {r.task_index} has no text" for r in blank]
     return found(me, Severity.FAIL, "Tasks are undefined or without text", items, "violations") if items else passed(me, "All tasks of frames are defined and have a text.")
 

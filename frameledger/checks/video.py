@@ -104,7 +104,7 @@ def decodable_spotcheck(ds: TrajectoryDataset, ctx: CheckContext) -> CheckResult
     bad = said.join(first, "path").select("camera", "ord", F.lit(None).cast("bigint").alias("episode_index"), "path", "errors").unionByName(lost)
     # an unresolvable segment is a finding by itself; a file that was tried ends the list once the cap is reached
     items: list[str] = []
-    for r in bad.orderBy("camera", "ord").limit(10_000).collect():
+    for r in bad.orderBy("camera", "ord").toLocalIterator():
         if r.path is None:
             items.append(f"camera {r.camera!r} episode {r.episode_index}: {r.errors[0] or 'no file'}")
             continue

@@ -3,6 +3,7 @@
 import io
 import json
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -304,6 +305,25 @@ def test_engine_and_registry():
     assert isinstance(r, CheckResult)
 
 
+def test_findings_are_all_listed(spark, tmp_path):
+    n = 10_005
+    x = Layout(1, n, camera=None)
+    x.tasks += [{"task_index": i, "task": " "} for i in range(1, n + 1)]
+    shift("task_index", lambda v, r: n + 1 + r["frame_index"])(x)
+    r = run(spark, x, tmp_path / "tasks", "SEMANTIC.TASK_INTEGRITY")
+    assert len(r.details["violations"]) == 2 * n
+    assert f"({2 * n})" in r.message
+    x = shift("timestamp", lambda v, r: v + 0.001 * r["frame_index"])(Layout(n, 2, camera=None))
+    r = run(spark, x, tmp_path / "spacing", "TEMPORAL.TIMESTAMP_SPACING")
+    assert (r.severity, len(r.details["warns"])) == (Severity.WARN, n)
+    (tmp_path / "bad.mp4").write_bytes(b"garbage, not a movie")
+    rows = [(i, i, "a", None, "no file") for i in range(n)] + [(0, 0, "b", "bad.mp4", None)]
+    segments = spark.createDataFrame(rows, "ord bigint, episode_index bigint, camera string, path string, problem string")
+    r = registry.get("VIDEO.DECODABLE_SPOTCHECK").run(SimpleNamespace(is_remote=False, root=str(tmp_path), segments=segments, cameras=["a", "b"]), CheckContext())
+    assert len([v for v in r.details["failures"] if v.startswith("camera 'a' episode")]) == n
+    assert any("'bad.mp4'" in v for v in r.details["failures"])
+
+
 def test_boxes():
     walk = lambda b: walk_boxes(io.BytesIO(b), len(b))
     ok = b"\x00\x00\x00\x08ftyp\x00\x00\x00\x08moov\x00\x00\x00\x00mdat1234"
