@@ -235,6 +235,18 @@ def test_superfluous_pieces(spark, seed):
     assert all(sum(x) <= 9000 or len(x) == 1 for x in size.values())
 
 
+def test_bins_of_many_groups_are_full(spark):
+    shards = [(1, 0, i, i, 0, 10, 4000, i, DAY) for i in range(3000)]
+    plan = compaction.compaction_plan(spark.createDataFrame(shards, SHARDS), target_bytes=1_280_000, group_pieces=200).collect()
+    assert {r.episode_index for r in plan} == set(range(3000))
+    assert len(plan) == 3000
+    size = {}
+    for r in plan:
+        size[r.bin_group, r.bin_no] = size.get((r.bin_group, r.bin_no), 0) + r.est_bytes
+    assert max(size.values()) <= 1_280_000
+    assert len(size) <= 11  # ten would hold them
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(3)
     sizes = rng.integers(0, 70, 200)
