@@ -32,7 +32,11 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_report, p8_selected, p8_shares, p9_found, p9_rates)}
+def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_reasons(read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_report, p8_selected, p8_shares, p9_found, p9_rates, p9_reasons)}
 
 _P7 = r"""
 WITH grams AS (
@@ -42,7 +46,15 @@ wanted AS (
 found AS (SELECT DISTINCT doc_id, item_id FROM grams JOIN wanted USING (g))
 """
 
+#: Page, closing and omission lines after the end, then the sentence's end; written for these tables' kinds of lines.
+_P9 = r"""
+WITH t AS (SELECT doc_id, lower(trim(source)) AS source, regexp_replace(coalesce(text, ''), '(?:\s|…|\.{3,}|\[(?:…|\.{3,})\]|[-–—_*#=~|>]|\n[ \t]*[-–— ]*(?:(?i:page|seite|p\.|blatt)?[ .]*\d+(?: *(?:of|/|de|von|sur) *\d+)?|[^\s\n][^\n]{0,80}?[ —–|:-]+(?i:page|seite|p\.|blatt) \d+(?: *(?:of|/|de|von|sur) *\d+)?|[^\s\n][^\n]{0,100}? {3,}\d+)[-–— ]*|\n[ \t]*\n\s*(?:(?:\pL\.[ -]?)+ (?:(?:von|van|de|du|der) )?\pL[\pL\d_''’-]+(?:, \pL+(?: \pL+)?)?|\pL[\pL\d_ ]{0,30}: [^\n]*[^.!?\n]|\pL[\pL\d_'' -]{1,40}, (?:\d{4}-\d\d-\d\d|\d{1,2}\.? \pL+ \d{4})|[\[(][^\[\]()\d\n][^\[\]()\n]*[)\]]|[-–—=*_]+ ?[^-–—=*_\n]{0,40} ?[-–—=*_]+)[ \t]*)+$', '') AS b FROM documents),
+u AS (SELECT doc_id, source, b <> '' AND (NOT regexp_matches(b, '[.!?]["”’»“)\]›]*$') OR regexp_matches(b, '[^\s.!?]\s+(?:\p{Lu}\.[\s-]?)+$')) AS truncated FROM t)
+"""
+
 SQL = {
+    "p9_found": _P9 + "SELECT DISTINCT doc_id FROM u WHERE truncated",
+    "p9_rates": _P9 + "SELECT source, count(*) AS docs, count(*) FILTER (truncated) AS truncated, count(*) FILTER (truncated) / count(*) AS rate FROM u GROUP BY source",
     "p7_found": _P7 + "SELECT * FROM found",
     "p7_report": _P7 + "SELECT i.item_id, i.suite, count(f.doc_id) AS docs FROM (SELECT DISTINCT item_id, suite FROM eval_items) i LEFT JOIN found f USING (item_id) GROUP BY ALL",
 }

@@ -210,12 +210,45 @@ def test_unclosed():
     assert truncation.unclosed("1) a) „b“ «c»") == -1
 
 
+OPEN = [
+    ('He said "we pay. The rest is gone.', "unclosed quote"), ("<b>Note: It holds.\n\nThe appeal is dismissed.", "unclosed markup"), ("```\ncode here.\n\nThe appeal ends.", "unclosed markup"),
+    ("The rule (see annex one.\n\nThe appeal is dismissed.", "unclosed bracket"), ("<!-- hidden.\n\nThe end.", "unclosed markup"), ("„Es gilt „heute“. Er kam.", "unclosed quote"),
+]
+CLOSED = ["He (1) came and 2) went.", "„Es gilt.“ Er kam.", "“One.\n\n“Two.” Three.", 'The <br> line <img src="x"> ends.', "a < b and c > d.", 'Size 5" wide.', 'He wrote "yes." Then left.', "Between [. and [2017] it lay.", "```\n( [ <b>\n```\n\nIt ends."]
+
+
+@pytest.mark.parametrize(("end", "frame"), OPEN)
+def test_frames_left_open(end, frame):
+    """A frame opened anywhere in the text is seen, though the last sentence is finished."""
+    assert truncation.judge(BODY + end).left_open == frame
+    assert truncation.judge(end + "\n\nThe appeal is").structure == frame
+
+
+@pytest.mark.parametrize("end", CLOSED)
+def test_frames_closed(end):
+    assert truncation.open_frames(end) == []
+
+
+def test_weak_ends_and_open_frames_against_the_source(spark):
+    """A short number, an abbreviation or an open frame is a sign of a cut only where the source does not usually end so."""
+    plain = "\n\n".join(["It was so held."] * 60) + "\n\n"
+    odd = "\n\n".join(["It is 12.", "See Art."] * 30) + "\n\n"
+    ends = ["The sum awarded is 12.", "relied on Art.", "Some matters, e.g.", "The rule (see annex one.\n\nIt ends.", "It ends."]
+    docs = [(100 * k + i, t + ends[i % 5 if i < 5 else 4], s) for k, (t, s) in enumerate([(plain, "a"), (odd, "b")]) for i in range(60)]
+    docs += [(1000 + i, plain + ends[3], "c") for i in range(5)] + [(2000, plain + "Ã¼ber. It ends.", "a")]
+    d = spark.createDataFrame(docs, DOCS)
+    got = {r.doc_id: r for r in truncation.judged_documents(d).collect()}
+    assert {i: r.reason for i, r in got.items() if r.truncated} == {0: "ends in short number", 1: "ends in abbreviation", 2: "ends in abbreviation", 3: "unclosed bracket", 103: "unclosed bracket"}
+    assert [i for i, r in got.items() if r.spoiled] == [2000]
+    assert {tuple(r) for r in truncation.truncation_reasons(d).collect()} == {("a", "ends in short number", 1), ("a", "ends in abbreviation", 2), ("a", "unclosed bracket", 1), ("b", "unclosed bracket", 1)}
+
+
 def test_rates_and_baseline(spark):
     docs = [(i, BODY + ("The appeal is dismissed." if i % 4 else "The appeal is dis"), ["Alpha", " alpha"][i % 2]) for i in range(40)]
     # a source that never ends its paragraphs with a stop
     docs += [(100 + i, "a line without a stop\n\nanother one\n\nthe last", "bare") for i in range(5)]
     docs += [(200, None, None), (201, "", None), (202, "x" * 200_000 + ".", None), (203, BODY + "and the", None), docs[0]]
-    d = spark.createDataFrame(docs, DOCS).withColumns({"structure": F.lit(1), "truncated": F.lit("x"), "closes": F.lit(0)})
+    d = spark.createDataFrame(docs, DOCS).withColumns({"structure": F.lit(1), "truncated": F.lit("x"), "closes": F.lit(0), "weak": F.lit(2)})
     assert {r[0] for r in truncation.truncated_documents(d).collect()} == {i for i in range(0, 40, 4)} | {203}
     got = {r.source: (r.docs, r.truncated) for r in truncation.truncation_rates(d).collect()}
     assert got == {"alpha": (41, 11), "bare": (5, 0), None: (4, 1)}
