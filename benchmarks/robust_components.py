@@ -1,8 +1,8 @@
-"""How robust principal components on profile matrices do on spikes, against the rule on neighbours.
+"""How much the robust components leave for the rule on neighbours, and whether a spike escapes them.
 
-python benchmarks/robust_components.py [SF_DIR]: for every component of every dataset a matrix whose
-rows are profiles of WIDTH consecutive readings is split into low rank and sparse by principal
-component pursuit; a reading whose sparse part passes a threshold is flagged.
+python benchmarks/robust_components.py [SF_DIR]: for every component of every dataset the share of
+readings that are candidates, and how many of the spikes are among them; beside it, how the sparse
+part would do alone, were it compared with thresholds.
 """
 
 from __future__ import annotations
@@ -13,33 +13,14 @@ import duckdb
 import numpy as np
 
 sys.path.insert(0, ".")
-from frameledger.operators.spikes import standoff  # noqa: E402
-
-WIDTH = 16
-
-
-def split(m: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Low-rank and sparse part by the inexact augmented Lagrangian method (Lin, Chen, Ma 2010)."""
-    lam = 1 / np.sqrt(max(m.shape))
-    norm = np.linalg.norm(m, 2) or 1.0
-    y = m / max(norm, np.abs(m).max() / lam)
-    mu, s = 1.25 / norm, np.zeros_like(m)
-    for _ in range(rounds):
-        u, d, v = np.linalg.svd(m - s + y / mu, full_matrices=False)
-        low = (u * np.maximum(d - 1 / mu, 0)) @ v
-        r = m - low + y / mu
-        s = np.sign(r) * np.maximum(np.abs(r) - lam / mu, 0)
-        gap = m - low - s
-        y, mu = y + mu * gap, min(mu * 1.5, 1e7 / norm)
-        if np.linalg.norm(gap) < 1e-7 * np.linalg.norm(m):
-            break
-    return low, s
+from frameledger.operators.spikes import PROFILE, candidates, low_rank, standoff  # noqa: E402
 
 
 def main(sf: str) -> None:
     q = f"SELECT DISTINCT dataset_id, episode_index, frame_index, action FROM '{sf}/frames.parquet' WHERE action IS NOT NULL ORDER BY 1, 2, 3"
     t = duckdb.sql(q).fetchnumpy()
-    hits = {k: [0, 0, 0] for k in (5, 10, 20)}
+    alone = {k: [0, 0, 0] for k in (5, 10, 20)}
+    readings = chosen = spikes = kept = 0
     for d in np.unique(t["dataset_id"]):
         use = t["dataset_id"] == d
         e, a = t["episode_index"][use], t["action"][use]
@@ -47,22 +28,22 @@ def main(sf: str) -> None:
             x = np.array([np.nan if r[c] is None else r[c] for r in a], float)
             ok = np.isfinite(x)
             x, g = x[ok], e[ok]
-            same = g[1:] == g[:-1]
-            change = np.abs(np.diff(x))[same]
+            change = np.abs(np.diff(x))[g[1:] == g[:-1]]
             step = np.quantile(change[change > 0], 0.75)
             want = standoff(x, g) > 20 * step
-            at = [np.flatnonzero(g == k) for k in np.unique(g)]
-            rows = np.concatenate([i[: len(i) // WIDTH * WIDTH].reshape(-1, WIDTH) for i in at])
-            # far values would rule the scale of the whole matrix: cut to the range of nearly all
-            m = np.clip(x, *np.quantile(x, [0.001, 0.999]) + np.array([-100, 100]) * step)[rows]
-            _, s = split(m - np.median(m))
-            for k in hits:
-                got = np.abs(s) > k * step
-                hits[k][0] += int((got & want[rows]).sum())
-                hits[k][1] += int(got.sum())
-                hits[k][2] += int(want[rows].sum())
-    for k, (both, got, want) in hits.items():
-        print(f"sparse part beyond {k} steps: recall {both / want:.3f}, precision {both / max(got, 1):.3f} of {want} spikes")
+            one = candidates(x, g, 20 * step)
+            readings, chosen, spikes, kept = readings + len(x), chosen + len(one), spikes + int(want.sum()), kept + int(want[one].sum())
+            whole = len(x) // PROFILE * PROFILE
+            m = x[:whole].reshape(-1, PROFILE)
+            off = np.abs(m - low_rank(m, 20 * step)).ravel()
+            for k, n in alone.items():
+                got = off > k * step
+                n[0] += int((got & want[:whole]).sum())
+                n[1] += int(got.sum())
+                n[2] += int(want[:whole].sum())
+    print(f"{chosen} of {readings} readings are candidates ({chosen / readings:.1%}); they hold {kept} of {spikes} spikes")
+    for k, (both, got, want) in alone.items():
+        print(f"residual beyond {k} steps alone: recall {both / want:.3f}, precision {both / max(got, 1):.3f}")
 
 
 if __name__ == "__main__":

@@ -1,48 +1,101 @@
 """Implausible readings: spikes, stuck stretches, impossible values, per component of each dataset.
 
 The readings of an episode are cut into shards of frames that tasks judge on their own, each with
-the few readings before and after it; an episode with a third of all rows is many shards. A shard
-gives each value's standoff, the largest threshold under which it would still be a spike, and the
-frame-to-frame changes, from which a quantile sketch per component and dataset makes the ordinary
-step. Comparing the two comes last, so the rows are shuffled once for both.
+the few readings before and after it; an episode with a third of all rows is many shards. The shards
+of a dataset that a task holds are laid out as profiles, rows of PROFILE consecutive readings of one
+component, and robust principal components split that matrix into a low-rank part, the normal course
+of the source, and a sparse one, what stands out from it. Where the sparse part is large, or the
+low-rank part itself leaps, readings are candidates, and the rule on neighbours is applied to them
+alone; constant runs and impossible values are tested apart. A value further than t from another has
+a residual of more than t/4 there or at the other, or the low-rank part leaps by more than t/2
+between them. So no spike escapes the candidates, however well or badly the profiles fit.
+
+The ordinary step is an exact quantile: a histogram over the leading bits of the changes finds the
+bins in which it lies, and only the changes in these are ranked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameledger.operators.common import broadcast_if_small, group_chunks, small_enough
+from frameledger.operators.common import cut, group_chunks, small_enough
 
 SHARD = 4096
 #: Equal values in a row that make a stuck stretch; neighbours of up to SPAN - 1 values stand off together.
 STUCK, SPAN = 8, 3
 _HALO = STUCK - 1
+#: Readings of a profile, principal components kept, rounds of the splitting, low bits of a double that a bin of changes leaves out.
+PROFILE, RANK, ROUNDS, BITS = 16, 4, 6, 40
 _SHARD_KEYS = ("dataset_id", "episode_index", "shard")
 
 
-def standoff(v: np.ndarray, group: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """For each value the greatest t such that, alone or with up to span - 1 neighbours, it and they differ from the values just before and after by t or more; 0 at the ends of a group."""
-    n, best = len(v), np.zeros(len(v))
+def standoff(v: np.ndarray, group: np.ndarray, at: np.ndarray | None = None, span: int = SPAN) -> np.ndarray:
+    """For each value (of the places `at`) the greatest t such that, alone or with up to span - 1 neighbours, it and they differ from the values just before and after by t or more; 0 at the ends of a group."""
+    at = np.arange(len(v)) if at is None else at
+    best = np.zeros(len(at))
     for m in range(1, span + 1):
-        k = n - m - 1
-        if k <= 0:
-            break
-        before, after = v[:k], v[m + 1 : m + 1 + k]
-        t = np.where(group[:k] == group[m + 1 : m + 1 + k], np.inf, 0.0)
-        for j in range(m):
-            x = v[1 + j : 1 + j + k]
-            np.minimum(t, np.abs(x - before), out=t)
-            np.minimum(t, np.abs(x - after), out=t)
-        for j in range(m):
-            np.maximum(best[1 + j : 1 + j + k], t, out=best[1 + j : 1 + j + k])
+        for place in range(m):
+            before, after = at - place - 1, at - place + m
+            ok = np.flatnonzero((before >= 0) & (after < len(v)))
+            ok = ok[group[before[ok]] == group[after[ok]]]
+            low, high = v[before[ok]], v[after[ok]]
+            t = np.full(len(ok), np.inf)
+            for j in range(m):
+                x = v[before[ok] + 1 + j]
+                np.minimum(t, np.minimum(np.abs(x - low), np.abs(x - high)), out=t)
+            best[ok] = np.maximum(best[ok], t)
     return best
 
 
+def low_rank(m: np.ndarray, t: float, rank: int = RANK, rounds: int = ROUNDS) -> np.ndarray:
+    """The low-rank part of a matrix of profiles about their medians, by alternating projections; what is left is sparse.
+
+    Cells further than a threshold from the low-rank part are sparse and do not count for the principal
+    components; it falls from t to t / 4. The components come from the small square of the profile's
+    length, so a round is linear in the number of profiles.
+    """
+    base = np.median(m, axis=1, keepdims=True)
+    d = m - base
+    low = np.zeros_like(d)
+    for at in np.geomspace(t, t / 4, rounds):
+        x = np.where(np.abs(d - low) > at, low, d)
+        u = np.linalg.eigh(x.T @ x)[1][:, -rank:]
+        low = (x @ u) @ u.T
+    return base + low
+
+
+def candidates(v: np.ndarray, group: np.ndarray, t: float, profile: int = PROFILE) -> np.ndarray:
+    """Places of v (finite, sorted groups, one source) that may stand off by more than t; none that do is left out."""
+    n = len(v)
+    if not n or not t < np.inf:
+        return np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(start, n))
+    rows = -(-size // profile)
+    first = np.repeat(np.concatenate(([0], np.cumsum(rows)[:-1])) * profile, size)
+    cell = first + np.arange(n) - np.repeat(start, size)
+    # a profile that the group does not fill goes on with its last value
+    fill = np.zeros(int(rows.sum()) * profile, np.int64)
+    fill[cell] = np.arange(n)
+    with np.errstate(over="ignore", invalid="ignore"):
+        low = low_rank(v[np.maximum.accumulate(fill)].reshape(-1, profile), t).ravel()[cell]
+    low[~np.isfinite(low)] = 0.0
+    out = np.abs(v - low) > t / 4
+    for _ in range(SPAN):
+        out[1:] |= out[:-1].copy()
+        out[:-1] |= out[1:].copy()
+    for d in range(1, SPAN + 1):
+        leap = np.abs(low[d:] - low[:-d]) > t / 2
+        out[d:] |= leap
+        out[:-d] |= leap
+    return np.flatnonzero(out)
+
+
 def run_lengths(v: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Length of the run of equal values that each value belongs to."""
     if not len(v):
@@ -80,40 +133,90 @@ def _groups(t: pa.Table) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _changes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in group_chunks(batches, _SHARD_KEYS):
-        group, dataset, halo = _groups(t), t.column("dataset_id").to_numpy(), t.column("halo").to_numpy()
-        for c, rows, v in _components(t):
-            fine = np.isfinite(v)
-            rows, v = rows[fine], v[fine]
-            if len(v) < 2:
-                continue
-            use = (group[rows[1:]] == group[rows[:-1]]) & (halo[rows[1:]] == 0)
-            d = np.abs(np.diff(v))[use]
-            yield pa.RecordBatch.from_arrays([pa.array(dataset[rows[1:]][use]), pa.array(np.full(len(d), c, np.int64)), pa.array(d)], names=["dataset_id", "component", "change"])
+def _changes_of(rows: np.ndarray, v: np.ndarray, group: np.ndarray, halo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and sizes of the changes from one finite value of a shard to the next; those that lead into the halo belong to another shard."""
+    use = (group[rows[1:]] == group[rows[:-1]]) & (halo[rows[1:]] == 0)
+    return rows[1:][use], np.abs(np.diff(v))[use]
 
 
-def _standoffs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _histogram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """dataset_id, component, bin (leading bits of the change, -1 if it is zero), n."""
     for t in group_chunks(batches, _SHARD_KEYS):
-        group, core = _groups(t), t.column("halo").to_numpy() == 0
-        key = [t.column(k).to_numpy() for k in ("dataset_id", "episode_index", "frame_index")]
+        group, dataset, halo = _groups(t), t.column("dataset_id").to_numpy(), t.column("halo").to_numpy()
         for c, rows, v in _components(t):
             fine = np.isfinite(v)
-            off, run = np.full(len(v), np.inf), np.zeros(len(v), np.int64)
-            g = group[rows[fine]]
-            off[fine], run[fine] = standoff(v[fine], g), run_lengths(v[fine], g)
+            at, d = _changes_of(rows[fine], v[fine], group, halo)
+            bins = np.where(d > 0, d.view(np.int64) >> BITS, -1)
             if c == -1:
-                off[fine & (v < 0)] = np.inf
-            use = ((off > 0) | (run >= STUCK)) & core[rows]
-            at = rows[use]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([*(pa.array(k[at]) for k in key), pa.array(np.full(len(at), c, np.int64)), pa.array(off[use]), pa.array(run[use] >= STUCK)], names=["dataset_id", "episode_index", "frame_index", "component", "standoff", "stuck"])
+                bins = np.minimum(bins, 0)  # its step is known; only whether it repeats counts
+            ids = dataset[at]
+            cuts = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    value, n = np.unique(bins[a:b], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), ids[a])), pa.array(np.full(len(value), c, np.int64)), pa.array(value), pa.array(n)], names=["dataset_id", "component", "bin", "n"])
+
+
+_FOUND = "dataset_id bigint, component bigint, episode_index bigint, frame_index bigint, standoff double, stuck boolean, change double, n bigint"
+
+
+def _row_batch(dataset: np.ndarray, c: int, **cols: np.ndarray) -> pa.RecordBatch:
+    n, kinds = len(dataset), {"episode_index": pa.int64(), "frame_index": pa.int64(), "standoff": pa.float64(), "stuck": pa.bool_(), "change": pa.float64(), "n": pa.int64()}
+    arrays = [pa.array(dataset), pa.array(np.full(n, c, np.int64))] + [pa.array(cols[k]) if k in cols else pa.nulls(n, t) for k, t in kinds.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=["dataset_id", "component", *kinds])
+
+
+def _judge(factor: float, sent: Callable[[], dict] | None) -> Callable:
+    """Candidates with their standoff and stuck values (episode_index not null), and the changes in the bins of the quantile (change not null).
+
+    The bins and the step's lower bound of a source are looked up in what was sent, else they stand in
+    the column edges of each row.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if sent is None else sent()
+        for t in group_chunks(batches, _SHARD_KEYS):
+            group, core, halo = _groups(t), t.column("halo").to_numpy() == 0, t.column("halo").to_numpy()
+            dataset, episode, frame = (t.column(k).to_numpy() for k in ("dataset_id", "episode_index", "frame_index"))
+            cuts = np.concatenate(([0], np.flatnonzero(dataset[1:] != dataset[:-1]) + 1, [t.num_rows]))
+            here = known
+            if here is None:
+                here = {(int(dataset[a]), e["component"]): (e["low"], e["high"], e["floor"]) for a in cuts[:-1] for e in t.column("edges")[int(a)].as_py() or ()}
+            for c, rows, v in _components(t):
+                fine = np.isfinite(v)
+                off = np.where(fine, 0.0, np.inf)
+                if c == -1:
+                    off[fine & (v < 0)] = np.inf
+                run_ = np.zeros(len(v), np.int64)
+                run_[fine] = run_lengths(v[fine], group[rows[fine]])
+                at, d = _changes_of(rows[fine], v[fine], group, halo)
+                places = np.flatnonzero(fine)
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    low, high, floor = here.get((int(dataset[a]), c), (None, None, None))
+                    mine = places[slice(*np.searchsorted(rows[places], (a, b)))]
+                    if floor is not None and len(mine):
+                        x, g = v[mine], group[rows[mine]]
+                        one = candidates(x, g, factor * floor)
+                        got = standoff(x, g, one)
+                        off[mine[one]] = np.maximum(off[mine[one]], np.where(got > factor * floor, got, 0.0))
+                    if low is not None and c >= 0:
+                        near = d[slice(*np.searchsorted(at, (a, b)))]
+                        near = near[(near > 0) & (near.view(np.int64) >> BITS >= low) & (near.view(np.int64) >> BITS <= high)]
+                        value, n = np.unique(near, return_counts=True)
+                        if len(value):
+                            yield _row_batch(np.full(len(value), dataset[a]), c, change=value, n=n)
+                use = ((off > 0) | (run_ >= STUCK)) & core[rows]
+                if use.any():
+                    r = rows[use]
+                    yield _row_batch(dataset[r], c, episode_index=episode[r], frame_index=frame[r], standoff=off[use], stuck=run_[use] >= STUCK)
+
+    return run
 
 
 def _neighbours(one: DataFrame, wide: DataFrame) -> DataFrame:
     """Rows that give every shard of the episodes in `wide` the readings, up to STUCK - 1 each way, of the shards beside it; a row holds one component."""
     keys = ["dataset_id", "episode_index", "component"]
-    long = one.join(broadcast_if_small(wide, 100_000), ["dataset_id", "episode_index"], "left_semi").select(
+    long = one.join(wide, ["dataset_id", "episode_index"], "left_semi").select(
         "dataset_id", "episode_index", "shard", "frame_index", F.posexplode(F.concat(F.array("timestamp"), F.coalesce("action", F.array().cast("array<float>")))).alias("_p", "v")
     )
     long = long.filter("v is not null and not isnan(v) and abs(v) <> float('inf')").withColumn("component", F.col("_p") - 1)
@@ -126,33 +229,81 @@ def _neighbours(one: DataFrame, wide: DataFrame) -> DataFrame:
     return near.select("dataset_id", "episode_index", "shard", "x.frame_index", F.when(F.col("component") == -1, F.col("x.v")).alias("timestamp"), place.alias("action"), F.lit(1).alias("halo"))
 
 
+#: Sources (components of datasets) whose bins are sent to every task, some 10 MB; of more they travel with the rows.
+MOST_SOURCES = 100_000
+
+
+def _edges(rows: DataFrame, datasets: DataFrame, quantile: float) -> DataFrame:
+    """dataset_id, component, low, high (bins of the two values between which the quantile lies), skip (changes below low), pos (rank, from 0, with a fraction), floor (at most the step), known (the step where it is no quantile), same (share of zero changes).
+
+    A source has a row per bin that occurs, whatever the number of its readings.
+    """
+    source = ["dataset_id", "component"]
+    h = rows.mapInArrow(_histogram, "dataset_id bigint, component bigint, bin bigint, n bigint").groupBy(*source, "bin").agg(F.sum("n").alias("n"))
+    total = Window.partitionBy(*source)
+    h = h.withColumns({"before": F.sum("n").over(total.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), "all": F.sum("n").over(total), "zero": F.sum(F.when(F.col("bin") < 0, F.col("n")).otherwise(0)).over(total)})
+    h = h.withColumn("before", F.coalesce("before", F.lit(0)) - F.col("zero")).withColumn("pos", F.lit(quantile) * (F.col("all") - F.col("zero") - 1))
+    holds = lambda k: (F.col("bin") >= 0) & (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    first, second = holds(F.floor("pos")), holds(F.ceil("pos"))
+    e = h.groupBy(*source).agg(
+        F.max(F.when(first, F.col("bin"))).alias("low"), F.max(F.when(second, F.col("bin"))).alias("high"), F.max(F.when(first, F.col("before"))).alias("skip"), F.max("pos").alias("pos"), (F.max("zero") / F.max("all")).alias("same")
+    )
+    fps = datasets.groupBy("dataset_id").agg(F.max("fps").cast("double").alias("fps"))
+    known = F.when((F.col("component") == -1) & (F.col("fps") > 0), 1 / F.col("fps"))
+    return e.join(fps, "dataset_id", "left").select(*source, "low", "high", "skip", "pos", "same", known.alias("known"), F.when(F.col("component") == -1, known).otherwise(_edge_value("low")).alias("floor"))
+
+
+def _edge_value(bin_: str):
+    """The least double of a bin: sign, exponent and leading bits of the mantissa from the bin's number."""
+    exponent, mantissa = F.shiftright(bin_, 52 - BITS), F.col(bin_).bitwiseAND(F.lit((1 << (52 - BITS)) - 1).cast("bigint"))
+    size = F.lit(float(1 << (52 - BITS)))
+    return F.when(exponent == 0, mantissa / size * F.lit(2.0**-1022)).otherwise((1 + mantissa / size) * F.pow(F.lit(2.0), exponent - 1023))
+
+
+def _exact_steps(edges: DataFrame, got: DataFrame) -> DataFrame:
+    """dataset_id, component, step, same: the quantile of the non-zero changes, from those of its bins."""
+    source = ["dataset_id", "component"]
+    c = got.filter("change is not null").groupBy(*source, "change").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*source).orderBy("change").rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumn("upto", upto).join(edges.select(*source, "skip", "pos"), source).withColumn("before", F.col("upto") - F.col("n"))
+    at = lambda k: F.max(F.when((F.col("skip") + F.col("before") <= k) & (k < F.col("skip") + F.col("upto")), F.col("change")))
+    c = c.groupBy(*source).agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
+    e = edges.join(c, source, "left")
+    exact = F.col("a") + (F.col("pos") - F.floor("pos")) * (F.col("b") - F.col("a"))
+    return e.select(*source, F.when(F.col("component") == -1, F.col("known")).otherwise(exact).alias("step"), "same")
+
+
 def implausible_readings(frames: DataFrame, datasets: DataFrame, factor: float = 20.0, quantile: float = 0.75) -> DataFrame:
     """dataset_id, episode_index, frame_index, component (-1: timestamp) of each implausible value.
 
     Values are ordered by frame_index; null values and rows with a null in dataset, episode or
     frame_index are skipped, rows sent again count once (of unequal rows of one frame, the one that
     sorts first). A case: not finite or a negative timestamp; or a standoff of more than `factor`
-    ordinary steps, the `quantile` of the non-zero changes (1/fps for timestamp; none where fps is
+    ordinary steps, the exact `quantile` of the non-zero changes (between two ranks in proportion) (1/fps for timestamp; none where fps is
     null or 0), non-finite values being no neighbours; or one of STUCK or more equal values in a row, unless most
     changes of that component in the dataset are zero.
     """
     shard = F.floor(F.col("frame_index") / SHARD).cast("bigint")
     keyed = frames.filter("dataset_id is not null and episode_index is not null and frame_index is not null")
-    spans = keyed.groupBy("dataset_id", "episode_index").agg(F.min(shard).alias("_a"), F.max(shard).alias("_b")).filter("_a < _b").drop("_a", "_b")
     one = keyed.select("dataset_id", "episode_index", "frame_index", F.col("timestamp").cast("float").alias("timestamp"), F.col("action").cast("array<float>").alias("action")).distinct()
     one = one.withColumn("shard", shard)
-    rows = one.select(*_SHARD_KEYS, "frame_index", "timestamp", "action", F.lit(0).alias("halo"))
-    if not small_enough(spans, 0):
-        rows = rows.unionByName(_neighbours(one, spans))
-    rows = rows.repartition(*_SHARD_KEYS).sortWithinPartitions(*_SHARD_KEYS, "frame_index", "timestamp", "action")
-    fps = datasets.groupBy("dataset_id").agg(F.max("fps").cast("double").alias("fps"))
-    steps = rows.mapInArrow(_changes, "dataset_id bigint, component bigint, change double").groupBy("dataset_id", "component").agg(
-        F.percentile_approx(F.when(F.col("change") > 0, F.col("change")), quantile, 10_000).alias("step"), F.avg((F.col("change") == 0).cast("int")).alias("same")
-    )
-    steps = steps.join(fps, "dataset_id", "left").select("dataset_id", "component", F.when(F.col("component") == -1, F.when(F.col("fps") > 0, 1 / F.col("fps"))).otherwise(F.col("step")).alias("step"), "same")
-    # a row per component and dataset: bounded by the datasets' table
-    steps = F.broadcast(steps) if small_enough(datasets, 100_000) else steps
-    found = rows.mapInArrow(_standoffs, "dataset_id bigint, episode_index bigint, frame_index bigint, component bigint, standoff double, stuck boolean").join(steps, ["dataset_id", "component"], "left")
+    # episodes of more than one shard; where there are none, the join's side is empty and the branch falls away while running
+    wide = one.groupBy("dataset_id", "episode_index").agg(F.min("shard").alias("_a"), F.max("shard").alias("_b")).filter("_a < _b").drop("_a", "_b")
+    rows = one.select(*_SHARD_KEYS, "frame_index", "timestamp", "action", F.lit(0).alias("halo")).unionByName(_neighbours(one, wide))
+    placed = lambda d: d.repartition(*_SHARD_KEYS).sortWithinPartitions(*_SHARD_KEYS, "frame_index", "timestamp", "action")
+    rows = placed(rows)
+    edges = cut(_edges(rows, datasets, quantile))
+    source = ["dataset_id", "component"]
+    if small := small_enough(edges, MOST_SOURCES):
+        table = {(r.dataset_id, r.component): (r.low, r.high, r.floor) for r in edges.select(*source, "low", "high", "floor").collect()}
+        sent = frames.sparkSession.sparkContext.broadcast(table)
+        judge = _judge(factor, lambda: sent.value)
+    else:
+        per = edges.groupBy("dataset_id").agg(F.collect_list(F.struct("component", "low", "high", "floor")).alias("edges"))
+        rows, judge = placed(rows.join(per, "dataset_id", "left")), _judge(factor, None)
+    got = cut(rows.mapInArrow(judge, _FOUND))  # candidates, stuck values and a few changes
+    steps = _exact_steps(edges, got)
+    found = got.filter("episode_index is not null").join(F.broadcast(steps) if small else steps, source, "left")
     spike = (F.col("standoff") == float("inf")) | (F.col("standoff") > factor * F.col("step"))
     stuck = F.col("stuck") & (F.coalesce("same", F.lit(0.0)) <= 0.5)
     return found.filter(F.coalesce(spike, F.lit(False)) | stuck).select("dataset_id", "episode_index", "frame_index", "component")

@@ -344,6 +344,57 @@ def test_implausible_readings(spark, monkeypatch, shard):
     assert {c for *_, c in want} == {-1, 0, 2}
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_no_spike_escapes_the_candidates(seed):
+    """Whatever the course of the source, what stands off by more than t is a candidate, and its standoff is the one of the whole series."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 700))
+    group = np.sort(rng.integers(0, rng.integers(1, 9), n))
+    v = rng.choice([np.cumsum(rng.normal(size=n)), np.sin(np.arange(n) / 7) * 30, np.zeros(n), rng.normal(size=n) * 1e6])
+    at = rng.random(n) < 0.1
+    v = np.where(at, v + rng.choice([-40.0, 25.0, 1e9, 21.0], n), v)
+    t = float(rng.choice([0.5, 20.0, 1e3]))
+    whole, one = spikes.standoff(v, group), spikes.candidates(v, group, t)
+    assert set(np.flatnonzero(whole > t)) <= set(one)
+    assert list(spikes.standoff(v, group, one)) == list(whole[one])
+
+
+def test_the_normal_course_is_no_candidate():
+    rng = np.random.default_rng(3)
+    v = np.sin(np.arange(20_000) / 9) * 8 + rng.normal(size=20_000) * 0.1
+    v[5_000] += 60
+    one = spikes.candidates(v, np.zeros(20_000, int), 20 * np.quantile(np.abs(np.diff(v)), 0.75))
+    assert 5_000 in one
+    assert len(one) < 20
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_steps_are_exact_quantiles(spark, monkeypatch, most):
+    """Values just below and above 20 times the exact quantile are told apart, in one bin of changes and in many, sent or joined."""
+    monkeypatch.setattr(spikes, "MOST_SOURCES", most)
+    rng = np.random.default_rng(most)
+    frames, want = [], set()
+    for d, scale in enumerate([1.0, 1e-3, 1e6]):
+        v = np.float32(np.cumsum(rng.uniform(0.9, 1.1, 400)) * scale)
+        v[200:] = v[199] + np.float32(np.cumsum(np.full(200, 1.0)) * scale)
+        for e, far in enumerate([19.0, 20.5, 21.0, 24.0]):
+            x = v.copy()
+            x[100] += np.float32(far * scale)
+            frames += [(d, e, i, i, i / 10, 0, [float(a)], day(0)) for i, a in enumerate(x)]
+    df = spark.createDataFrame(frames, FRAMES)
+    steps = {}
+    for d in range(3):
+        each = [np.abs(np.diff(np.array([f[6][0] for f in frames if f[0] == d and f[1] == e], float))) for e in range(4)]
+        c = np.concatenate(each)
+        steps[d] = np.quantile(c[c > 0], 0.75)
+        for e in range(4):
+            x = np.array([f[6][0] for f in frames if f[0] == d and f[1] == e], float)
+            want |= {(d, e, int(i), 0) for i in np.flatnonzero(spikes.standoff(x, np.zeros(len(x), int)) > 20 * steps[d])}
+    fps = spark.createDataFrame([(d, 10) for d in range(3)], "dataset_id bigint, fps int")
+    assert {r for r in rows(spikes.implausible_readings(df, fps)) if r[3] == 0} == want
+    assert want
+
+
 def test_spikes_of_little(spark):
     fps = spark.createDataFrame([(1, 0)], "dataset_id bigint, fps int")
     assert rows(spikes.implausible_readings(spark.createDataFrame([], FRAMES), fps)) == []
