@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -28,11 +30,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir and read from there, so that later steps do not repeat its plan.
 
-    The folder is the session's; only where none is set (tests on one machine) a temporary one is made.
+    The folder is the session's. Where none is set, one process on one machine (tests) makes a temporary
+    one and removes it at its end; on a cluster that is an error, as executors could not share it. What
+    is written goes with the session's own cleaning (spark.cleaner.referenceTracking.cleanCheckpoints).
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="frameledger-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+            folder = tempfile.mkdtemp(prefix="frameledger-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

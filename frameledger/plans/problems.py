@@ -48,6 +48,25 @@ def p4_plan(spark: SparkSession, d: str) -> DataFrame:
     return compaction.compaction_plan(read(spark, d, "data_shards"))
 
 
+#: Fixed value: bytes of a bin in the queries that look at many bins of these small tables.
+SMALL_BIN = 64 << 10
+
+
+def p4_held(spark: SparkSession, d: str) -> DataFrame:
+    """Per episode, packed into small bins: frames held, frames held twice, and whether it stays together unless larger than a bin."""
+    plan = compaction.compaction_plan(read(spark, d, "data_shards"), SMALL_BIN)
+    bytes_ = plan.groupBy(*compaction.EPISODE).agg(F.sum("est_bytes").alias("bytes"))
+    h = compaction.held_frames(plan).join(bytes_, list(compaction.EPISODE))
+    return h.select(*compaction.EPISODE, "frames", "doubled", ((F.col("bins") == 1) | (F.col("bytes") > SMALL_BIN)).alias("together"))
+
+
+def p4_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Per dataset, packed into small bins: pieces, bytes, bins beyond the size that hold more than a piece, and whether all bins but one are more than half full, as first fit has it."""
+    b = compaction.bin_sizes(compaction.compaction_plan(read(spark, d, "data_shards"), SMALL_BIN))
+    low = F.count_if(2 * F.col("bytes") <= SMALL_BIN)
+    return b.groupBy("dataset_id").agg(F.sum("pieces").alias("pieces"), F.sum("bytes").alias("bytes"), F.count_if((F.col("bytes") > SMALL_BIN) & (F.col("pieces") > 1)).alias("over"), (low <= 1).alias("full"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible_readings(read(spark, d, "frames"), read(spark, d, "datasets"))
 
@@ -61,7 +80,7 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods(i, intervals.KEYS).withColumnsRenamed({"lo": "a", "hi": "b"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p3_found, p3_table, p3_tasks, p4_found, p4_plan, p5_found, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p3_found, p3_table, p3_tasks, p4_found, p4_plan, p4_held, p4_bins, p5_found, p6_found, p6_periods)}
 
 _P1 = """
 WITH refs AS (
@@ -95,6 +114,22 @@ SELECT DISTINCT a.dataset_id, a.chunk_index, a.file_index, a.episode_index FROM
   AND (b.n > a.n OR b.written_at > a.written_at OR (b.written_at = a.written_at AND (b.chunk_index, b.file_index) < (a.chunk_index, a.file_index))))
 """
 
+_P4K = """
+WITH r AS (SELECT DISTINCT dataset_id, episode_index, "data/chunk_index" AS chunk_index, "data/file_index" AS file_index, from_frame AS lo, to_frame AS hi, size_bytes, written_at FROM data_shards WHERE from_frame < to_frame),
+k AS (SELECT * FROM r a WHERE NOT EXISTS (
+  SELECT 1 FROM r b WHERE b.dataset_id = a.dataset_id AND b.episode_index = a.episode_index AND (b.chunk_index, b.file_index) <> (a.chunk_index, a.file_index) AND b.lo <= a.lo AND b.hi >= a.hi
+  AND (b.hi - b.lo > a.hi - a.lo OR b.written_at > a.written_at OR (b.written_at = a.written_at AND (b.chunk_index, b.file_index) < (a.chunk_index, a.file_index))))),
+m AS (SELECT *, greatest(lo, coalesce(max(hi) OVER (PARTITION BY dataset_id, episode_index ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo)) AS from_frame FROM k),
+plan AS (SELECT dataset_id, episode_index, chunk_index, file_index, from_frame, hi AS to_frame, CAST(ceil(coalesce(size_bytes, 0) * ((hi - from_frame) / (hi - lo))) AS BIGINT) AS est_bytes FROM m WHERE from_frame < hi)
+"""
+
+#: Frames of an episode by walking through all pieces in order of their starts; nothing of the plan is used.
+_P4H = """
+WITH r AS (SELECT DISTINCT dataset_id, episode_index, from_frame AS lo, to_frame AS hi FROM data_shards WHERE from_frame < to_frame),
+w AS (SELECT *, greatest(lo, coalesce(max(hi) OVER (PARTITION BY dataset_id, episode_index ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo)) AS since FROM r)
+SELECT dataset_id, episode_index, CAST(sum(greatest(hi - since, 0)) AS BIGINT) AS frames, CAST(0 AS BIGINT) AS doubled, true AS together FROM w GROUP BY ALL
+"""
+
 _P5 = """
 WITH one AS (SELECT DISTINCT dataset_id, episode_index, frame_index, "timestamp" AS ts, action FROM frames),
 long AS (
@@ -175,6 +210,10 @@ k AS (SELECT *, max(own) OVER (PARTITION BY dataset_id, episode_index ORDER BY g
 SELECT k.dataset_id, k.episode_index, k.grid_index, r.task_index, CASE WHEN own IS NOT NULL THEN 'reading' WHEN filled_from IS NOT NULL THEN 'filled' ELSE 'missing' END AS state, filled_from
 FROM k LEFT JOIN r ON r.dataset_id = k.dataset_id AND r.episode_index = k.episode_index AND r.grid_index = k.filled_from""",
     "p4_found": _P4,
+    # one bin of 128 MB holds each of these datasets
+    "p4_plan": _P4K + "SELECT *, CAST(0 AS BIGINT) AS bin_group, CAST(0 AS BIGINT) AS bin_no FROM plan",
+    "p4_held": _P4H,
+    "p4_bins": _P4K + "SELECT dataset_id, count(*) AS pieces, CAST(sum(est_bytes) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS over, true AS full FROM plan GROUP BY dataset_id",
     "p5_found": _P5,
     "p6_found": _P6 + "SELECT * FROM o UNION ALL BY NAME SELECT * FROM g",
     "p6_periods": _P6 + "SELECT src_table, dataset_id, camera, chunk_index, file_index, min(lo) AS a, max(hi) AS b FROM n GROUP BY src_table, dataset_id, camera, chunk_index, file_index, run",

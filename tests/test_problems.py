@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from frameledger.operators import common, compaction, intervals, orphans, regrid, schema_drift, series, spikes
 from frameledger.plans import problems
-from frameledger.sources.compact import fingerprint, planned_rows, rewrite
+from frameledger.sources.compact import fingerprint, freeze, planned_rows, read_bins, rewrite
 from frameledger.errors import RepairError
 
 DAY = dt.datetime(2023, 1, 1)
@@ -222,7 +222,7 @@ def test_superfluous_pieces(spark, seed):
             if n(b) > n(a) or wb > wa or (wb == wa and b[1:3] < a[1:3]):
                 want.add((a[0], a[1], a[2], a[3]))
     assert set(rows(got)) == want
-    plan = compaction.compaction_plan(spark.createDataFrame(shards, SHARDS), target_bytes=9000, group_pieces=10).collect()
+    plan = compaction.compaction_plan(spark.createDataFrame(shards, SHARDS), target_bytes=9000, group_units=10).collect()
     held = {}
     for r in plan:
         for i in range(r.from_frame, r.to_frame):
@@ -233,11 +233,25 @@ def test_superfluous_pieces(spark, seed):
     for r in plan:
         size.setdefault((r.bin_group, r.bin_no), []).append(r.est_bytes)
     assert all(sum(x) <= 9000 or len(x) == 1 for x in size.values())
+    every = compaction.compaction(spark.createDataFrame(shards, SHARDS), target_bytes=9000, group_units=10)
+    assert len(rows(every)) == len({s[:9] for s in shards if None not in s[:4]})
+    assert rows(every.filter("bin_no is not null").drop("superfluous")) == sorted(map(tuple, plan), key=repr)
+    assert every.filter("superfluous and bin_no is not null").isEmpty()
+
+
+def test_episodes_stay_together(spark):
+    shards = [(1, 0, i, i // 4, 10 * (i % 4), 10 * (i % 4) + 10, 1000, i, DAY) for i in range(200)] + [(1, 1, i, 999, 10 * i, 10 * i + 10, 3000, i, DAY) for i in range(9)]
+    plan = compaction.compaction_plan(spark.createDataFrame(shards, SHARDS), target_bytes=10_000)
+    held = {r.episode_index: r for r in compaction.held_frames(plan).collect()}
+    assert {(e, r.frames, r.doubled) for e, r in held.items()} == {(e, 40, 0) for e in range(50)} | {(999, 90, 0)}
+    assert {r.bins for e, r in held.items() if e != 999} == {1}
+    assert held[999].bins == 3
+    assert all(r.bytes <= 10_000 for r in compaction.bin_sizes(plan).collect())
 
 
 def test_bins_of_many_groups_are_full(spark):
     shards = [(1, 0, i, i, 0, 10, 4000, i, DAY) for i in range(3000)]
-    plan = compaction.compaction_plan(spark.createDataFrame(shards, SHARDS), target_bytes=1_280_000, group_pieces=200).collect()
+    plan = compaction.compaction_plan(spark.createDataFrame(shards, SHARDS), target_bytes=1_280_000, group_units=200).collect()
     assert {r.episode_index for r in plan} == set(range(3000))
     assert len(plan) == 3000
     size = {}
@@ -262,22 +276,57 @@ def test_first_fit_decreasing():
     assert list(compaction.first_fit_decreasing(np.array([500, 1]), 100)) == [0, 1]
 
 
-def test_rewrite(spark, tmp_path):
+@pytest.fixture
+def packing(spark):
     shards = [(1, 0, i, i // 2, 5 * (i % 2), 5 * (i % 2) + 5, 100, i, DAY) for i in range(8)] + [(1, 7, 7, 0, 0, 5, 90, 1, day(-1))]
     frames = spark.createDataFrame([(s[0], s[1], s[2], s[3], p, float(p)) for s in shards for p in range(s[4], s[5])], "dataset_id bigint, chunk_index bigint, file_index bigint, episode_index bigint, position bigint, v double")
-    plan = compaction.compaction_plan(spark.createDataFrame(shards, SHARDS), target_bytes=300)
+    return frames, compaction.compaction_plan(spark.createDataFrame(shards, SHARDS), target_bytes=300)
+
+
+def test_rewrite(spark, tmp_path, packing):
+    frames, plan = packing
     kept = planned_rows(frames, plan)
     assert kept.count() == 40
     out = str(tmp_path / "packed")
-    made = rewrite(kept, out)
+    frozen = freeze(frames, plan)
+    made = rewrite(frames, frozen, out)
     assert made.agg(F.sum("rows")).first()[0] == 40
     assert rows(made) == rows(fingerprint(kept, ["dataset_id", "bin_group", "bin_no"]))
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["packed"]
-    with pytest.raises(RepairError):
-        rewrite(kept, out)
+    assert rows(read_bins(spark, out).select(*kept.columns)) == rows(kept)
+    with pytest.raises(RepairError, match="already"):
+        rewrite(frames, frozen, out)
+
+
+BROKEN_SOURCES = {
+    "a lost file": lambda f: f.filter("file_index <> 3"),
+    "a lost frame": lambda f: f.filter("not (file_index = 3 and position = 7)"),
+    "doubled frames": lambda f: f.unionByName(f.filter("file_index = 2")),
+    "a frame for another": lambda f: f.withColumn("position", F.when(F.col("file_index") == 3, F.least("position", F.lit(8))).otherwise(F.col("position"))),
+}
+
+
+@pytest.mark.parametrize("name", BROKEN_SOURCES)
+def test_rewrite_refuses_lost_and_doubled_frames(spark, tmp_path, packing, name):
+    """Whether the source was broken when it was frozen or breaks later, nothing is committed."""
+    frames, plan = packing
+    with pytest.raises(RepairError, match="planned frames once"):
+        freeze(BROKEN_SOURCES[name](frames), plan)
+    out = tmp_path / "packed"
+    with pytest.raises(RepairError, match="pieces differ"):
+        rewrite(BROKEN_SOURCES[name](frames), freeze(frames, plan), str(out))
+    with pytest.raises(RepairError, match="nothing is committed"):
+        read_bins(spark, str(out))
+    assert [p for p in out.rglob("*.parquet")] == []
+
+
+def test_rewrite_refuses_changed_values_and_leaves_nothing_after_a_failure(spark, tmp_path, packing):
+    frames, plan = packing
+    frozen = freeze(frames, plan)
+    with pytest.raises(RepairError, match="pieces differ"):
+        rewrite(frames.withColumn("v", F.when(F.col("position") == 4, -1.0).otherwise(F.col("v"))), frozen, str(tmp_path / "a"))
     with pytest.raises(Exception, match="boom"):
-        rewrite(kept.withColumn("v", F.raise_error(F.lit("boom")).cast("double")), str(tmp_path / "other"))
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["packed"]
+        rewrite(frames.withColumn("v", F.raise_error(F.lit("boom")).cast("double")), frozen, str(tmp_path / "b"))
+    assert [p for p in tmp_path.rglob("*.parquet")] == []
 
 
 def brute_spikes(frames, fps):
