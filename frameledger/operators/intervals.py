@@ -1,129 +1,174 @@
 """Overlaps, gaps and continuous periods of integer intervals.
 
-Intervals are half-open. Each is decomposed into canonical dyadic blocks (level, number), the
-block standing for [number << level, (number + 1) << level). Blocks that an ancestor covers go,
-full sets of sibling blocks become their parent, and the rest, disjoint and ordered, are coalesced.
-Overlapping pairs are found by the blocks too: an interval's start lies in at most one block of
-another interval.
+Intervals are half-open. The line is cut into cells of 2**CELL units; what an interval covers of a
+cell is decomposed into canonical dyadic blocks, and the whole cells between its ends are an interval
+of the next tier, whose unit is a cell. In each cell blocks that an ancestor covers go, sibling pairs
+become their parent level by level, and neighbouring blocks are coalesced. Every task does so with
+the intervals it has before anything is shuffled, so a cell receives its disjoint stretches from each
+task, however many intervals lie in it. A scan over the stretches joins cells and tiers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameledger.operators.common import broadcast_if_small, cut, previous_row
+from frameledger.operators.common import group_chunks, previous_row
 
-#: Sibling blocks are merged this many levels at a time, as bits of one bigint.
-STEP = 6
-#: Ancestors up to this level are found within cells of 2**CELL units.
-CELL = 16
+#: Levels within a cell, tiers that a bigint needs.
+CELL, TIERS = 16, 4
 
 
-def _floor_shift(x: Column, by: Column) -> Column:
-    return F.call_function("shiftright", x, by)
+def decompose(lo: np.ndarray, hi: np.ndarray, top: int = CELL) -> list[np.ndarray]:
+    """For each level up to `top` the numbers of the canonical dyadic blocks of all [lo, hi), each once; number n of level l stands for [n << l, (n + 1) << l)."""
+    out = []
+    for level in range(top + 1):
+        a, b = -(-lo >> level), hi >> level
+        there = a < b
+        lo, hi, a, b = lo[there], hi[there], a[there], b[there]
+        if level == top:
+            # what is left fills whole blocks of the top level; a cell has one
+            n = b - a
+            first = np.repeat(a, n)
+            out.append(np.unique(first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)))
+        else:
+            out.append(np.unique(np.concatenate((a[a & 1 == 1], b[b & 1 == 1] - 1))))
+    return out
 
 
-def _ceil_shift(x: Column, by: Column) -> Column:
-    return -F.call_function("shiftright", -x, by)
+def uncovered(blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """The blocks of which no ancestor is among them.
 
-
-def decompose(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """df with a row for each canonical dyadic block (level int, block bigint) of [lo, hi); none where lo >= hi or null."""
-    top = F.ceil(F.log2((F.col(hi) - F.col(lo)).cast("double"))).cast("int") + 1
-    levels = F.sequence(F.lit(0), F.least(top, F.lit(62)))
-
-    def at(level: Column) -> Column:
-        a, b = _ceil_shift(F.col(lo), level), _floor_shift(F.col(hi), level)
-        return F.filter(
-            F.array(
-                F.when((a < b) & (F.abs(a % 2) == 1), F.struct(level.alias("level"), a.alias("block"))),
-                F.when((a < b) & (F.abs(b % 2) == 1), F.struct(level.alias("level"), (b - 1).alias("block"))),
-            ),
-            lambda x: x.isNotNull(),
-        )
-
-    return df.filter(F.col(lo) < F.col(hi)).withColumn("_b", F.explode(F.flatten(F.transform(levels, at)))).select(*df.columns, "_b.level", "_b.block")
-
-
-def _with_levels(df: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """df with `_levels`, the levels (at most 63) that occur in the row's group.
-
-    A row per group is broadcast once their number is checked, so that no group is gathered in one
-    task; with more groups than that it is an ordinary join.
-    """
-    levels = blocks.groupBy(*keys).agg(F.collect_set("level").alias("_levels"))
-    return df.join(broadcast_if_small(levels, 100_000), list(keys))
-
-
-def uncovered(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of distinct blocks (keys, level, block) those of which no ancestor is among them.
-
-    Blocks are nested or apart. Sorted by start, larger ones first, a block has an ancestor before it
-    just if some block before it reaches its end: that settles ancestors below level CELL, in cells of
-    2**CELL units, each with a bounded number of different blocks. The few larger blocks are looked up
-    by their number.
-    """
-    keys = list(keys)
-    lo, hi = F.call_function("shiftleft", F.col("block"), F.col("level")), F.call_function("shiftleft", F.col("block") + 1, F.col("level"))
-    cell = _floor_shift(F.col("block"), F.lit(CELL) - F.col("level"))
-    before = Window.partitionBy(*keys, "_cell").orderBy("_lo", F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
-    low = blocks.filter(F.col("level") < CELL).select(*keys, "level", "block", cell.alias("_cell"), lo.alias("_lo"), hi.alias("_hi"))
-    low = low.withColumn("_reach", F.max("_hi").over(before)).filter("_reach is null or _reach < _hi").select(*keys, "level", "block")
-    high = blocks.filter(F.col("level") >= CELL).select(*keys, "level", "block")
-    if high.isEmpty():
-        return low
-    rest = low.unionByName(high)
-    up = F.filter("_levels", lambda x: x > F.col("level"))
-    above = _with_levels(rest, high, keys).select("*", F.explode(up).alias("_l")).select(*keys, "level", "block", "_l", _floor_shift(F.col("block"), F.col("_l") - F.col("level")).alias("_a"))
-    parents = high.select(*keys, F.col("level").alias("_l"), F.col("block").alias("_a"))
-    covered = above.join(parents, [*keys, "_l", "_a"], "left_semi").select(*keys, "level", "block").distinct()
-    return rest.join(covered, [*keys, "level", "block"], "left_anti")
-
-
-def merge_siblings(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Disjoint stretches keys, lo, hi: sibling pairs merged upward, and neighbours inside a block of STEP levels joined.
-
-    Level by level would take a shuffle each; so 2**STEP units of one tier are bits of a bigint,
-    whose union (with partial aggregation) merges all pairs of these levels at once. A full set is
-    one unit of the next tier. The rest comes out as its runs of bits.
+    Blocks are nested or apart: sorted by start, larger ones first, a block has an ancestor just if
+    some block before it reaches its end.
     """
-    keys = list(keys)
-    rest, out = cut(blocks.select(*keys, "level", "block")), None
-    for base in range(0, 60, STEP):
-        low = rest.filter(F.col("level") < base + STEP)
-        first = F.call_function("shiftleft", F.col("block"), F.col("level") - base)
-        n = F.call_function("shiftleft", F.lit(1), F.col("level") - base)
-        place = first.bitwiseAND(F.lit(2**STEP - 1).cast("bigint")).cast("int")
-        bits = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("bigint"), n) - 1, place)
-        mask = cut(low.groupBy(*keys, F.call_function("shiftright", first, F.lit(STEP)).alias("_cell")).agg(F.bit_or(bits).alias("_mask")))
-        on = lambda i: F.call_function("shiftright", F.col("_mask"), i).bitwiseAND(F.lit(1).cast("bigint")) == 1
-        places = F.sequence(F.lit(0), F.lit(2**STEP - 1))
-        begin = F.filter(places, lambda i: on(i) & ((i == 0) | ~on(F.greatest(i - 1, F.lit(0)))))
-        end = F.filter(places, lambda i: on(i) & ((i == 2**STEP - 1) | ~on(F.least(i + 1, F.lit(2**STEP - 1)))))
-        run = mask.filter("_mask <> -1").select(*keys, "_cell", F.explode(F.arrays_zip(begin.alias("b"), end.alias("e"))).alias("x"))
-        unit = lambda c: F.call_function("shiftleft", F.col("_cell") * 2**STEP + c, F.lit(base))
-        done = run.select(*keys, unit(F.col("x.b")).alias("lo"), unit(F.col("x.e") + 1).alias("hi"))
-        out = done if out is None else out.unionByName(done)
-        rest = rest.filter(F.col("level") >= base + STEP).unionByName(mask.filter("_mask = -1").select(*keys, F.lit(base + STEP).alias("level"), F.col("_cell").alias("block")))
-        if rest.isEmpty():
-            return out
-    top = rest.select(*keys, F.call_function("shiftleft", F.col("block"), F.col("level")).alias("lo"), F.call_function("shiftleft", F.col("block") + 1, F.col("level")).alias("hi"))
-    return out.unionByName(top)
+    level = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+    block = np.concatenate(blocks)
+    start, end = block << level, (block + 1) << level
+    order = np.lexsort((-level, start))
+    reach = np.maximum.accumulate(end[order]) if len(order) else end
+    keep = np.ones(len(block), bool)
+    keep[order[1:]] = reach[:-1] < end[order[1:]]
+    return [b[k] for b, k in zip(blocks, np.split(keep, np.cumsum([len(b) for b in blocks])[:-1]), strict=True)]
+
+
+def merge_siblings(blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """Disjoint blocks in which sibling pairs have become their parent, from the lowest level up."""
+    out, carried = [], np.zeros(0, np.int64)
+    for level, b in enumerate(blocks):
+        b = np.union1d(b, carried)
+        pair = np.zeros(len(b), bool)
+        if level + 1 < len(blocks):
+            pair[:-1] = (b[:-1] & 1 == 0) & (b[1:] == b[:-1] + 1)
+        carried = b[pair] >> 1
+        pair[1:] |= pair[:-1].copy()
+        out.append(b[~pair])
+    return out
+
+
+def stretches(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of intervals, none of which leaves its cell, as sorted stretches; neighbours of one cell are coalesced."""
+    blocks = merge_siblings(uncovered(decompose(lo, hi)))
+    level = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+    block = np.concatenate(blocks)
+    order = np.argsort(block << level)
+    start, end = (block << level)[order], ((block + 1) << level)[order]
+    first = np.ones(len(start), bool)
+    first[1:] = (start[1:] != end[:-1]) | (start[1:] % (1 << CELL) == 0)
+    last = np.append(first[1:], True)[: len(first)]
+    return start[first], end[last]
+
+
+def _pieces(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """row, tier, cell, from, to: what intervals cover of the cells in which they begin or end, of every tier they reach; from and to within the cell."""
+    row, out = np.arange(len(lo)), []
+    for tier in range(TIERS):
+        a, b = lo >> CELL, (hi - 1) >> CELL
+        one = a == b if tier < TIERS - 1 else np.ones(len(lo), bool)
+        if tier == TIERS - 1:  # the last tier has the cells -1 and 0
+            for cell in (-1, 0):
+                x, y = np.maximum(lo, cell << CELL), np.minimum(hi, (cell + 1) << CELL)
+                k = x < y
+                out.append((row[k], np.full(k.sum(), tier), np.full(k.sum(), cell), x[k] - (cell << CELL), y[k] - (cell << CELL)))
+            break
+        out.append((row[one], np.full(one.sum(), tier), a[one], lo[one] - (a[one] << CELL), hi[one] - (a[one] << CELL)))
+        row, lo, hi, a, b = (x[~one] for x in (row, lo, hi, a, b))
+        left, right = lo > a << CELL, hi < (b + 1) << CELL
+        full = np.int64(1 << CELL)
+        out.append((row[left], np.full(left.sum(), tier), a[left], lo[left] - (a[left] << CELL), np.full(left.sum(), full)))
+        out.append((row[right], np.full(right.sum(), tier), b[right], np.zeros(right.sum(), np.int64), hi[right] - (b[right] << CELL)))
+        a, b = a + left, b + 1 - right
+        more = a < b
+        row, lo, hi = row[more], a[more], b[more]
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+
+
+def _groups(t: pa.Table, keys: Sequence[str], *numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the group of equal keys and numbers of each row, and a row of each group."""
+    code = np.zeros(t.num_rows, np.int64)
+    parts = [t.column(k).combine_chunks().dictionary_encode(null_encoding="encode") for k in keys]
+    for x in [*(p.indices.to_numpy() for p in parts), *numbers]:
+        value, x = np.unique(x, return_inverse=True)
+        code = np.unique(code * len(value) + x, return_inverse=True)[1]
+    first = np.zeros(code.max(initial=-1) + 1, np.int64)
+    first[code] = np.arange(len(code))
+    return code, first
+
+
+_CELLS = ("_tier", "_cell", "_from", "_to")
+
+
+def _united(keys: Sequence[str], split: bool) -> Callable:
+    """Stretches per cell: of intervals (lo, hi) that are split into cells first, or of stretches that several tasks found, whose cells are complete and come out in units."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = (pa.Table.from_batches([b]) for b in batches if b.num_rows) if split else group_chunks(batches, ["_hash"])
+        for t in tables:
+            if split:
+                row, tier, cell, a, b = _pieces(t.column("lo").to_numpy(), t.column("hi").to_numpy())
+                t = t.select(list(keys)).take(pa.array(row))
+            else:
+                tier, cell, a, b = (t.column(c).to_numpy() for c in _CELLS)
+            group, first = _groups(t, keys, tier, cell)
+            lo, hi = stretches((group << CELL) + a, (group << CELL) + b)
+            at = first[lo >> CELL]
+            base = (lo >> CELL) << CELL
+            if split:
+                cols = [tier[at], cell[at], lo - base, hi - base]
+            else:
+                unit = CELL * tier[at]
+                cols = [((cell[at] << CELL) + lo - base) << unit, ((cell[at] << CELL) + hi - base) << unit]
+            out = t.select(list(keys)).take(pa.array(at))
+            for name, c in zip(_CELLS if split else ("lo", "hi"), cols, strict=True):
+                out = out.append_column(name, pa.array(c))
+            yield from out.combine_chunks().to_batches()
+
+    return run
 
 
 def covered_stretches(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Disjoint stretches keys, lo, hi whose union is that of the intervals; neighbours may still touch."""
+    """keys, lo, hi: stretches whose union is that of the intervals, disjoint within a cell; those of other cells may touch, and one of a higher tier may cover others."""
     keys = list(keys)
-    distinct = intervals.select(*keys, "lo", "hi").distinct()
-    return merge_siblings(uncovered(cut(decompose(distinct).select(*keys, "level", "block").distinct()), keys), keys)
+    d = intervals.select(*keys, F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi")).filter("lo < hi")
+    names = ", ".join(f"`{n}` {t}" for n, t in d.select(*keys).dtypes)
+    part = d.mapInArrow(_united(keys, True), f"{names}, _tier bigint, _cell bigint, _from bigint, _to bigint")
+    part = part.withColumn("_hash", F.xxhash64(*keys, "_tier", "_cell")).repartition("_hash").sortWithinPartitions("_hash")
+    return part.mapInArrow(_united(keys, False), f"{names}, lo bigint, hi bigint")
 
 
 def _between(stretches: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
-    d = previous_row(stretches, keys, "lo", F.floor(F.col("lo") / block), ["hi"])
-    return d.filter(F.col("prev.hi") < F.col("lo")).select(*keys, F.col("prev.hi").alias("a"), F.col("lo").alias("b"))
+    """keys, a, b: what lies between the furthest end so far and the next stretch; the ends come from a scan over blocks of starts, so that no group is one task."""
+    keys = list(keys)
+    d = stretches.groupBy(*keys, "lo").agg(F.max("hi").alias("hi")).withColumn("_blk", F.floor(F.col("lo") / block))
+    ends = d.groupBy(*keys, "_blk").agg(F.max("hi").alias("_end"))
+    carry = ends.select(*keys, "_blk", F.max("_end").over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    inside = F.max("hi").over(Window.partitionBy(*keys, "_blk").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_in", inside).join(carry, [*keys, "_blk"]).withColumn("a", F.greatest("_in", "_carry"))
+    return d.filter("a < lo").select(*keys, "a", F.col("lo").alias("b"))
 
 
 def gaps(intervals: DataFrame, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:
@@ -144,18 +189,30 @@ def periods(intervals: DataFrame, keys: Sequence[str], block: int = 1 << 16) ->
     return d.filter("prev is not null").select(*keys, F.col("prev.at").alias("lo"), F.col("closes").alias("hi"))
 
 
+def _level(length: Column) -> Column:
+    """The least level whose blocks are as long as `length` or longer."""
+    return F.when(length <= 1, 0).otherwise(64 - F.length(F.regexp_replace(F.lpad(F.bin(length - 1), 64, "0"), "1.*$", "")))
+
+
+def _block(x: Column, level: Column) -> Column:
+    return F.call_function("shiftright", x, level)
+
+
 def overlaps(intervals: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
     """keys, a, b (members, a < b): pairs of different members of which some intervals share more than an end point.
 
-    The interval that starts later (or with the other) has its start in exactly one block of the
-    earlier one: each pair of intervals meets once, on that block.
+    An interval lies in one or two dyadic blocks of the level of its length. Another that starts later
+    (or with it) has its start in one of them, and is looked up there on the levels that its group has:
+    each pair of intervals meets once, on the block of that start.
     """
     keys = list(keys)
-    i = intervals.select(*keys, F.col(member).alias("_m"), "lo", "hi").filter("lo < hi").distinct()
-    blocks = decompose(i).select(*keys, F.col("_m").alias("_p"), "level", "block")
-    starts = _with_levels(i.select(*keys, "_m", "lo").distinct(), blocks, keys).select(*keys, "_m", "lo", F.explode("_levels").alias("level"))
-    starts = starts.select(*keys, "_m", "level", _floor_shift(F.col("lo"), F.col("level")).alias("block"))
-    pairs = blocks.join(starts, [*keys, "level", "block"]).filter("_p <> _m")
+    i = intervals.select(*keys, F.col(member).alias("_m"), "lo", "hi").filter("lo < hi").distinct().withColumn("_l", _level(F.col("hi") - F.col("lo")))
+    first, last = _block(F.col("lo"), F.col("_l")), _block(F.col("hi") - 1, F.col("_l"))
+    holders = i.select(*keys, F.col("_m").alias("_p"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "_l", F.explode(F.array_distinct(F.array(first, last))).alias("_b"))
+    levels = i.groupBy(*keys).agg(F.collect_set("_l").alias("_levels"))  # at most 64
+    starts = i.join(levels, keys).select(*keys, "_m", "lo", F.explode("_levels").alias("_l"))
+    starts = starts.withColumn("_b", _block(F.col("lo"), F.col("_l"))).distinct()
+    pairs = holders.join(starts, [*keys, "_l", "_b"]).filter("_p <> _m and _lo <= lo and lo < _hi")
     return pairs.select(*keys, F.least("_p", "_m").alias("a"), F.greatest("_p", "_m").alias("b")).distinct()
 
 

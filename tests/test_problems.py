@@ -487,18 +487,45 @@ def test_intervals(spark, seed, span, long):
     assert rows(intervals.periods(df, ["g"], 64)) == sorted(merged, key=repr)
 
 
-def test_decomposition_is_canonical(spark):
-    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([(0, 8), (1, 8), (-5, 6), (7, 8), (3, 3), (5, 2), (None, 1), (2**40, 2**40 + 3)])], "i bigint, lo bigint, hi bigint")
-    got = {}
-    for r in intervals.decompose(df).collect():
-        got.setdefault(r.i, []).append((r.block << r.level, (r.block + 1) << r.level))
-    assert sorted(got) == [0, 1, 2, 3, 7]
-    for i, (a, b) in {0: (0, 8), 1: (1, 8), 2: (-5, 6), 3: (7, 8), 7: (2**40, 2**40 + 3)}.items():
-        blocks = sorted(got[i])
-        assert blocks[0][0] == a
-        assert blocks[-1][1] == b
-        assert all(x[1] == y[0] for x, y in zip(blocks, blocks[1:], strict=False))
-    assert got[0] == [(0, 8)]
+def test_decomposition_is_canonical():
+    for a, b in [(0, 8), (1, 8), (5, 700), (7, 8), (3, 3), (65_535, 65_536), (0, 65_536), (65_536, 131_072), (1, 65_535)]:
+        blocks = intervals.decompose(np.array([a]), np.array([b]))
+        spans = sorted((int(n) << level, int(n) + 1 << level) for level, x in enumerate(blocks) for n in x)
+        assert a == b and not spans or (spans[0][0], spans[-1][1]) == (a, b)
+        assert all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+        # canonical: no two of them are siblings
+        assert all(np.intersect1d(x[x & 1 == 0] + 1, x).size == 0 for x in blocks[:-1])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_blocks_become_the_union(seed):
+    rng = np.random.default_rng(seed)
+    n, size = int(rng.integers(1, 60)), int(rng.integers(1, 400))
+    lo = rng.integers(0, 2000, n) + (rng.integers(0, 3, n) << 16)
+    hi = lo + rng.integers(1, size + 1, n)
+    here = intervals.uncovered(intervals.decompose(lo, hi))
+    for level, x in enumerate(here):
+        assert all(not np.isin(x >> up, here[level + up]).any() for up in range(1, len(here) - level))
+    want = np.zeros(3 << 16, bool)
+    for a, b in zip(lo, hi, strict=True):
+        want[a:b] = True
+    got = np.zeros(3 << 16, bool)
+    a, b = intervals.stretches(lo, hi)
+    for x, y in zip(a, b, strict=True):
+        assert not got[x:y].any()
+        got[x:y] = True
+    assert (got == want).all()
+    assert (a[1:] > b[:-1]).all()
+
+
+def test_intervals_of_all_sizes(spark):
+    """Intervals over many cells and tiers, up to nearly all of a bigint, beside short ones that they cover or touch."""
+    iv = [(1, 0, -(2**62), -(2**60)), (1, 1, -(2**60), 2**40), (1, 2, 2**40 + 5, 2**40 + 7), (1, 3, 2**40 + 6, 2**60), (1, 4, 2**62, 2**62 + 1), (2, 5, 65_535, 65_537), (2, 6, 65_537, 3 * 65_536), (2, 7, 65_536, 2 * 65_536), (2, 8, 5 * 65_536, 6 * 65_536), (2, 9, 0, 65_536), (3, 10, -1, 0), (3, 11, 0, 1)]
+    df = spark.createDataFrame(iv, "g bigint, m bigint, lo bigint, hi bigint")
+    pairs, gap, merged = brute_intervals(iv)
+    assert set(rows(intervals.overlaps(df, ["g"], "m"))) == pairs
+    assert rows(intervals.gaps(df, ["g"])) == sorted(gap, key=repr)
+    assert rows(intervals.periods(df, ["g"])) == sorted(merged, key=repr)
 
 
 def test_overlaps_and_gaps_of_odd_rows(spark):
