@@ -163,10 +163,10 @@ def covered_stretches(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _between(stretches: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
     """keys, a, b: what lies between the furthest end so far and the next stretch; the ends come from a scan over blocks of starts, so that no group is one task."""
     keys = list(keys)
-    d = stretches.groupBy(*keys, "lo").agg(F.max("hi").alias("hi")).withColumn("_blk", F.floor(F.col("lo") / block))
+    d = stretches.withColumn("_blk", F.floor(F.col("lo") / block))
     ends = d.groupBy(*keys, "_blk").agg(F.max("hi").alias("_end"))
     carry = ends.select(*keys, "_blk", F.max("_end").over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    inside = F.max("hi").over(Window.partitionBy(*keys, "_blk").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.max("hi").over(Window.partitionBy(*keys, "_blk").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("_in", inside).join(carry, [*keys, "_blk"]).withColumn("a", F.greatest("_in", "_carry"))
     return d.filter("a < lo").select(*keys, "a", F.col("lo").alias("b"))
 
@@ -190,8 +190,9 @@ def periods(intervals: DataFrame, keys: Sequence[str], block: int = 1 << 16) ->
 
 
 def _level(length: Column) -> Column:
-    """The least level whose blocks are as long as `length` or longer."""
-    return F.when(length <= 1, 0).otherwise(64 - F.length(F.regexp_replace(F.lpad(F.bin(length - 1), 64, "0"), "1.*$", "")))
+    """A level whose blocks are as long as `length` or longer, the least or (where a double rounds up) the next."""
+    level = F.ceil(F.log2(length.cast("double"))).cast("int")
+    return level + (F.call_function("shiftleft", F.lit(1).cast("bigint"), level) < length).cast("int")
 
 
 def _block(x: Column, level: Column) -> Column:
@@ -222,7 +223,7 @@ KEYS = ("src_table", "dataset_id", "camera", "chunk_index", "file_index")
 def dataset_intervals(episodes: DataFrame, video_segments: DataFrame) -> DataFrame:
     """KEYS, member (episode_index), lo, hi: frame ranges by dataset and metadata chunk, segments by video file in milliseconds.
 
-    Rows with a null in keys, member or bounds, with NaN or infinite bounds or with from >= to are left out.
+    Rows with a null in keys, member or bounds, with NaN or infinite bounds or with from >= to are left out; repeated rows are not.
     """
     long = lambda c: F.col(c).cast("bigint")
     e = episodes.select(
@@ -234,7 +235,7 @@ def dataset_intervals(episodes: DataFrame, video_segments: DataFrame) -> DataFra
         F.lit("video_segments").alias("src_table"), long("dataset_id").alias("dataset_id"), F.col("camera"), long("chunk_index").alias("chunk_index"), long("file_index").alias("file_index"),
         long("episode_index").alias("member"), ms("from_timestamp").alias("lo"), ms("to_timestamp").alias("hi"),
     )
-    return e.unionByName(v).dropna().filter("lo < hi").distinct()
+    return e.unionByName(v).dropna().filter("lo < hi")
 
 
 def overlaps_and_gaps(episodes: DataFrame, video_segments: DataFrame) -> DataFrame:
