@@ -3,7 +3,10 @@
 Each revision gets a schema: fields of scope 'info' (keys of the JSON body), 'feature' (keys under
 features) and 'task' (keys of the task records), each with a type and a description that a rename
 keeps. A fingerprint stands for the schema; only revisions whose fingerprint differs from the one
-before are compared field by field, and the differences are the migration steps.
+before are compared field by field, and the differences are the migration steps. Files with the same
+names and types share a version: what has to be renamed, defaulted or cast is worked out once per
+version, and each file is routed through the steps of its own. Bodies and records are parsed once and
+their schemas written down; all later steps read those.
 """
 
 from __future__ import annotations
@@ -105,10 +108,14 @@ def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def info_schemas(info_files: DataFrame) -> DataFrame:
-    """repo_id, revision, file_id, written, fields: one row per revision with a body that is a JSON object; of several the latest written, then the greatest file_id."""
+    """repo_id, revision, file_id, written, fields, version: one row per revision with a body that is a JSON object; of several the latest written, then the greatest file_id. version is the fingerprint of names and types."""
     rows = info_files.select(F.col("repo_id").cast("bigint").alias("repo_id"), F.col("revision").cast("bigint").alias("revision"), F.col("written_at").cast("timestamp_ntz").cast("string").alias("written"), F.col("file_id").cast("bigint").alias("file_id"), "body")
     d = rows.filter("repo_id is not null and revision is not null and body is not null").mapInArrow(_describe, f"repo_id bigint, revision bigint, written string, file_id bigint, fields {_FIELDS}")
-    return d.groupBy("repo_id", "revision").agg(F.max_by(F.struct("file_id", "written", "fields"), F.struct(F.coalesce("written", F.lit("")), F.coalesce("file_id", F.lit(-1)))).alias("x")).select("repo_id", "revision", "x.*")
+    version = F.xxhash64(F.transform("fields", lambda x: F.struct(x["scope"], x["field"], x["type"])))
+    d = cut(d.withColumns({"_id": F.monotonically_increasing_id(), "version": version}))
+    # the files to keep are chosen by narrow rows
+    best = d.groupBy("repo_id", "revision").agg(F.max(F.struct(F.coalesce("written", F.lit("")), F.coalesce("file_id", F.lit(-1)), "_id")).alias("x"))
+    return d.join(best.select("repo_id", "revision", "x._id"), ["repo_id", "revision", "_id"], "left_semi").drop("_id")
 
 
 def task_schemas(task_records: DataFrame) -> DataFrame:
@@ -118,26 +125,32 @@ def task_schemas(task_records: DataFrame) -> DataFrame:
     one = k.groupBy("repo_id", "revision", "field").agg(F.min(F.struct((-F.col("n")).alias("n"), "type")).alias("x"))
     none = F.lit(None).cast("string")
     item = F.struct(F.lit("task").alias("scope"), "field", F.col("x.type").alias("type"), none.alias("shape"), F.col("x.type").alias("same"), none.alias("value"))
-    return one.groupBy("repo_id", "revision").agg(F.sort_array(F.collect_list(F.when(F.col("x.type") != "", item))).alias("fields"))
+    return cut(one.groupBy("repo_id", "revision").agg(F.sort_array(F.collect_list(F.when(F.col("x.type") != "", item))).alias("fields")))
 
 
 def _transitions(s: DataFrame) -> DataFrame:
-    """repo_id, revision, before: revisions whose schema's fingerprint differs from that of the nearest earlier one."""
-    prints = s.select("repo_id", "revision", F.xxhash64("fields").alias("print"))
-    p = previous_row(prints, ["repo_id"], "revision", F.floor(F.col("revision") / _BLOCK), ["print"])
-    return p.filter("prev is not null and prev.print <> print").select("repo_id", "revision", F.col("prev.revision").alias("before"))
+    """repo_id, kind, revision, before: revisions whose schema's fingerprint differs from that of the nearest earlier one of the kind."""
+    prints = s.select("repo_id", "kind", "revision", F.xxhash64("fields").alias("print"))
+    p = previous_row(prints, ["repo_id", "kind"], "revision", F.floor(F.col("revision") / _BLOCK), ["print"])
+    return p.filter("prev is not null and prev.print <> print").select("repo_id", "kind", "revision", F.col("prev.revision").alias("before"))
 
 
 def _differences(s: DataFrame) -> DataFrame:
-    """repo_id, revision, scope, o, n: fields of the earlier and later schema, one of them null if it went or came; unchanged ones left out."""
+    """repo_id, revision, scope, field, o, n: fields (type, shape, same, bare) of the earlier and later schema, one of them null if it went or came; unchanged ones left out. `kind` tells schemas of bodies and of records apart."""
     t = _transitions(s)
-    fields = s.select("repo_id", "revision", F.explode("fields").alias("f"))
-    new = t.join(fields, ["repo_id", "revision"]).select("repo_id", "revision", "f.scope", "f.field", F.col("f").alias("n"))
-    old = t.join(fields.withColumnRenamed("revision", "before"), ["repo_id", "before"]).select("repo_id", "revision", "f.scope", "f.field", F.col("f").alias("o"))
-    both = old.join(new, ["repo_id", "revision", "scope", "field"], "full")
+    bare = F.when(F.col("f.field") == "codebase_version", F.regexp_replace(F.col("f.value"), "^v", ""))
+    fields = s.select("repo_id", "kind", "revision", F.explode("fields").alias("f")).select("repo_id", "kind", "revision", "f.scope", "f.field", F.struct("f.type", "f.shape", "f.same", bare.alias("bare")).alias("x"))
+    key = ["repo_id", "revision", "scope", "field"]
+    new = t.select("repo_id", "kind", "revision").join(fields, ["repo_id", "kind", "revision"]).select(*key, F.col("x").alias("n"))
+    old = t.join(fields.withColumnRenamed("revision", "before"), ["repo_id", "kind", "before"]).select(*key, F.col("x").alias("o"))
+    both = old.join(new, key, "full")
     return both.filter("o is null or n is null or o.same <> n.same or o.type <> n.type")
 
 
+def _of(kind: int, schemas: DataFrame) -> DataFrame:
+    return schemas.select("repo_id", F.lit(kind).alias("kind"), "revision", "fields")
+
+
 def schema_changes(info_files: DataFrame, task_records: DataFrame) -> DataFrame:
     """repo_id, revision, scope, field, change (renamed, removed, added, retyped, reshaped, version).
 
@@ -146,7 +159,8 @@ def schema_changes(info_files: DataFrame, task_records: DataFrame) -> DataFrame:
     came with the same description (info: equal value; feature: dtype and shape; task: type) are a
     rename; were several alike, they pair by name. Unreadable and null bodies and records are no schema.
     """
-    return _labelled(_differences(info_schemas(info_files).select("repo_id", "revision", "fields")).unionByName(_differences(task_schemas(task_records)))).select("repo_id", "revision", "scope", "field", "change").distinct()
+    s = _of(0, info_schemas(info_files)).unionByName(_of(1, task_schemas(task_records)))
+    return _labelled(_differences(s)).select("repo_id", "revision", "scope", "field", "change").distinct()
 
 
 def _labelled(d: DataFrame) -> DataFrame:
@@ -154,18 +168,16 @@ def _labelled(d: DataFrame) -> DataFrame:
     group = ["repo_id", "revision", "scope"]
     rank = F.row_number().over(Window.partitionBy(*group, "same", "gone").orderBy("field"))
     moved = d.filter("o is null or n is null").select(*group, "field", F.coalesce("o.same", "n.same").alias("same"), F.col("n").isNull().alias("gone")).withColumn("k", rank)
-    gone = moved.filter("gone").drop("gone")
-    came = moved.filter("not gone").drop("gone").withColumnRenamed("field", "new_field")
-    pair = gone.join(came, [*group, "same", "k"], "full")
+    # what went and what came with equal descriptions meet by rank
+    pair = moved.groupBy(*group, "same", "k").agg(F.max(F.when(F.col("gone"), F.col("field"))).alias("field"), F.max(F.when(~F.col("gone"), F.col("field"))).alias("new_field"))
     change = F.when(F.col("field").isNull(), "added").when(F.col("new_field").isNull(), "removed").otherwise("renamed")
     moves = pair.select(*group, F.coalesce("field", "new_field").alias("field"), change.alias("change"), F.when(change == "renamed", F.col("new_field")).alias("new_field"))
-    kept = d.filter("o is not null and n is not null")
-    bare = lambda c: F.regexp_replace(F.col(c), "^v", "")
     found = F.array(
         F.when(F.col("o.type") != F.col("n.type"), "retyped"),
         F.when((F.col("scope") == "feature") & ~F.col("o.shape").eqNullSafe(F.col("n.shape")), "reshaped"),
-        F.when((F.col("scope") == "info") & (F.col("field") == "codebase_version") & (bare("o.value") != bare("n.value")), "version"),
+        F.when((F.col("scope") == "info") & (F.col("o.bare") != F.col("n.bare")), "version"),
     )
+    kept = d.filter("o is not null and n is not null")
     stays = kept.select(*group, "field", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("change"), F.lit(None).cast("string").alias("new_field"))
     return moves.unionByName(stays)
 
@@ -184,7 +196,7 @@ _FEATURE_TYPE = pa.list_(pa.struct([(x, pa.string()) for x in ("name", "dtype",
 
 def _renames(schemas: DataFrame, scopes: Sequence[str], max_rules: int) -> list[Row]:
     """scope, field, new_field, n: the different renames of all repositories, the most frequent first; more than max_rules of a scope are an error."""
-    d = _labelled(_differences(schemas.select("repo_id", "revision", "fields"))).filter(F.col("scope").isin(*scopes) & (F.col("change") == "renamed"))
+    d = _labelled(_differences(_of(0, schemas))).filter(F.col("scope").isin(*scopes) & (F.col("change") == "renamed"))
     got = d.groupBy("scope", "field", "new_field").agg(F.count(F.lit(1)).alias("n")).limit(len(scopes) * max_rules + 1).collect()
     if got and Counter(r.scope for r in got).most_common(1)[0][1] > max_rules:
         raise ValueError(f"more than {max_rules} different renames")
@@ -243,34 +255,39 @@ def feature_rules(schemas: DataFrame, renames: Sequence[Row], max_pairs: int = 1
     return {x: end for x, end in ends.items() if x != end}
 
 
-def _renamed(features: list[dict], rules: dict[str, str]) -> tuple[list[dict], list[str]]:
-    """Features under the rules' names and the renames used; where two would get one name, the one that has it, else the first, and the others keep theirs."""
-    taken = {x["field"] for x in features}
-    out, notes = [], []
-    for x in features:
-        name = x["field"]
+def _renamed(features: list[str], rules: dict[str, str]) -> dict[str, str]:
+    """Features that get another name by the rules; where two would get one name, the one that has it, else the first, and the others keep theirs."""
+    taken, out = set(features), {}
+    for name in features:
         if (to := rules.get(name, name)) not in taken:
             taken.add(to)
-            notes.append(f"rename feature {name} -> {to}")
-            name = to
-        out.append({"name": name, "dtype": x["type"], "shape": x["shape"], "rest": x["value"]})
-    return sorted(out, key=lambda x: x["name"]), notes
+            out[name] = to
+    return out
 
 
-def _divided(rules: dict[str, str]) -> Callable:
-    """Fields of bodies divided into info keys (features aside, if they are an object) and features under the rules' names."""
+def _routes(rules: dict[str, str]) -> Callable:
+    """Versions with their features' new names, and the notes on them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = b.column("fields").to_pylist()
-            info = [[{"name": x["field"], "type": x["type"], "value": x["value"]} for x in f if x["scope"] == "info" and (x["field"], x["type"]) != ("features", "object")] for f in got]
-            features = [_renamed([x for x in f if x["scope"] == "feature"], rules) for f in got]
-            cols = [pa.array(info, _INFO_TYPE), pa.array([x for x, _ in features], _FEATURE_TYPE), pa.array([x for _, x in features], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("repo_id", "revision", "file_id")), *cols], names=["repo_id", "revision", "file_id", "info", "features", "moved"])
+            got = [_renamed(names, rules) for names in b.column("names").to_pylist()]
+            notes = [[f"rename feature {old} -> {new}" for old, new in x.items()] for x in got]
+            yield pa.RecordBatch.from_arrays([b.column("version"), pa.array([list(x.items()) for x in got], pa.map_(pa.string(), pa.string())), pa.array(notes, pa.list_(pa.string()))], names=["version", "renames", "moved"])
 
     return run
 
 
+def _routed(s: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Schemas with `info` (keys; features aside, if they are an object), `features` under the names of their version's steps, and `moved`, those steps."""
+    of = lambda scope: F.filter("fields", lambda x: x["scope"] == scope)
+    names = F.transform(of("feature"), lambda x: x["field"])
+    routes = s.groupBy("version").agg(F.any_value(names).alias("names")).mapInArrow(_routes(rules), "version bigint, renames map<string,string>, moved array<string>")
+    info = F.transform(F.filter(of("info"), lambda x: (x["field"] != "features") | (x["type"] != "object")), lambda x: F.struct(x["field"].alias("name"), x["type"].alias("type"), x["value"].alias("value")))
+    to = lambda x: F.coalesce(F.try_element_at("renames", x["field"]), x["field"])
+    features = F.array_sort(F.transform(of("feature"), lambda x: F.struct(to(x).alias("name"), x["type"].alias("dtype"), x["shape"].alias("shape"), x["value"].alias("rest"))))
+    return s.join(routes, "version").select("repo_id", "revision", "file_id", "version", info.alias("info"), features.alias("features"), "moved")
+
+
 def _chained(target: dict[str, str], defaults: dict[str, str], renames: dict[str, str], first: Sequence[str] = ()) -> tuple[list[Column], Column, list[Column]]:
     """The columns of target from `info` (fields by name, type and value) and its maps v and k, the fields they do not hold as they are, and notes.
 
@@ -305,7 +322,7 @@ def _listed(*notes: Column) -> Column:
 
 
 def consistent_table(info_files: DataFrame, task_records: DataFrame, all_revisions: bool = False) -> DataFrame:
-    """One row per revision with a readable body, or with all_revisions also per one with readable task records only: repo_id, revision, file_id, the TARGET columns, other, features, n_features, n_task_keys (of its task records, null without a readable one) and `applied`, the rules used.
+    """One row per revision with a readable body, or with all_revisions also per one with readable task records only: repo_id, revision, file_id, version, the TARGET columns, other, features, n_features, n_task_keys (of its task records, null without a readable one) and `applied`, the rules used.
 
     Every field passes the chain rename, default, cast; applied lists them as 'rename a -> b',
     'rename feature a -> b', 'default b' and 'cast b'. A value that cannot be cast is null. `other`
@@ -314,15 +331,19 @@ def consistent_table(info_files: DataFrame, task_records: DataFrame, all_revisio
     records stand in task_table. Without a body, applied begins with 'no body', the columns have their
     defaults and the rest is null.
     """
-    s = cut(info_schemas(info_files))
+    s = info_schemas(info_files)
     renames = _renames(s, ("info", "feature"), 10_000)
-    moves = feature_rules(s, [r for r in renames if r.scope == "feature"])
-    s = s.select("repo_id", "revision", "file_id", "fields").mapInArrow(_divided(moves), f"repo_id bigint, revision bigint, file_id bigint, info {_OTHER}, features {_FEATURES}, moved array<string>")
+    s = _routed(s, feature_rules(s, [r for r in renames if r.scope == "feature"]))
     out, other, notes = _chained(TARGET, DEFAULTS, _rules([(r.field, r.new_field) for r in renames if r.scope == "info"], TARGET))
     tasks = task_schemas(task_records).select("repo_id", "revision", F.size("fields").cast("bigint").alias("n_task_keys"))
     s = _mapped(s).join(tasks, ["repo_id", "revision"], "full" if all_revisions else "left")
     applied = F.concat_ws("; ", F.when(F.col("info").isNull(), "no body"), _listed(*notes), "moved").alias("applied")
-    return s.select("repo_id", "revision", "file_id", *out, other, "features", F.size("features").cast("bigint").alias("n_features"), "n_task_keys", applied)
+    return s.select("repo_id", "revision", "file_id", "version", *out, other, "features", F.size("features").cast("bigint").alias("n_features"), "n_task_keys", applied)
+
+
+def schema_versions(table: DataFrame) -> DataFrame:
+    """version, steps, revisions, repos: the versions of a consistent table with the migration steps of each."""
+    return table.filter("version is not null").groupBy("version", F.col("applied").alias("steps")).agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct("repo_id").alias("repos"))
 
 
 def _record(text: str | None) -> list[dict] | None:

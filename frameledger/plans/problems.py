@@ -40,6 +40,21 @@ def p3_tasks(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.task_table(read(spark, d, "task_records"))
 
 
+def p3_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The versions of the schema and the steps that lead from each to the table."""
+    return schema_drift.schema_versions(p3_table(spark, d))
+
+
+def p3_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of p3_table that every revision has."""
+    return p3_table(spark, d).select("repo_id", "revision", *schema_drift.TARGET, "n_features", "n_task_keys")
+
+
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of p3_tasks that every record has."""
+    return p3_tasks(spark, d).select("repo_id", "revision", "line_no", "task_index", "task")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return compaction.superfluous_pieces(read(spark, d, "data_shards"))
 
@@ -80,7 +95,7 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods(i, intervals.KEYS).withColumnsRenamed({"lo": "a", "hi": "b"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p3_found, p3_table, p3_tasks, p4_found, p4_plan, p4_held, p4_bins, p5_found, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p3_found, p3_table, p3_tasks, p3_versions, p3_columns, p3_texts, p4_found, p4_plan, p4_held, p4_bins, p5_found, p6_found, p6_periods)}
 
 _P1 = """
 WITH refs AS (
@@ -199,7 +214,25 @@ UNION ALL SELECT repo_id, revision, scope, field, 'reshaped' FROM stay WHERE sco
 UNION ALL SELECT repo_id, revision, scope, field, 'version' FROM stay WHERE scope = 'info' AND field = 'codebase_version' AND b0 <> b1
 """
 
+#: A value as text, as the table has it before its casts.
+_TEXT = "json_extract_string(j, '$.{0}')"
+_P3C = (
+    "WITH changes AS (" + _P3 + "), "
+    + _P3[_P3.index("b AS (") : _P3.index("ik AS (")]
+    + _P3[_P3.index("t AS (SELECT repo_id") : _P3.index("tn AS (")].rstrip().rstrip(",")
+    + """,
+v AS (SELECT repo_id, revision, j, json_type(json_extract(j, '$.codebase_version')) AS kind, EXISTS (SELECT 1 FROM changes WHERE scope = 'info' AND change = 'renamed' AND field IN ('robot', 'robot_type')) AS alike FROM b),
+c AS (SELECT repo_id, revision, 'v' || ltrim(CASE WHEN kind = 'VARCHAR' THEN """ + _TEXT.format("codebase_version") + """ ELSE CAST(CAST(""" + _TEXT.format("codebase_version") + """ AS DOUBLE) AS VARCHAR) END, 'v') AS codebase_version,
+  TRY_CAST(""" + _TEXT.format("fps") + """ AS DOUBLE) AS fps, TRY_CAST(TRY_CAST(""" + _TEXT.format("total_episodes") + """ AS DOUBLE) AS BIGINT) AS total_episodes, TRY_CAST(TRY_CAST(""" + _TEXT.format("total_frames") + """ AS DOUBLE) AS BIGINT) AS total_frames,
+  coalesce(""" + _TEXT.format("robot_type") + """, CASE WHEN alike THEN """ + _TEXT.format("robot") + """ END, 'unknown') AS robot_type,
+  CAST(coalesce(len(list_filter(json_keys(j, '$.features'), lambda k: json_type(json_extract(j, '$.features."' || k || '"')) <> 'NULL')), 0) AS BIGINT) AS n_features FROM v),
+k AS (SELECT t.repo_id, t.revision, count(DISTINCT field) FILTER (kind IS NOT NULL) AS n_task_keys FROM (SELECT DISTINCT repo_id, revision FROM t) t LEFT JOIN tk USING (repo_id, revision) GROUP BY ALL)
+SELECT repo_id, revision, codebase_version, fps, total_episodes, total_frames, coalesce(robot_type, 'unknown') AS robot_type, n_features, n_task_keys FROM c FULL JOIN k USING (repo_id, revision)"""
+)
+
 SQL = {
+    "p3_columns": _P3C,
+    "p3_texts": "SELECT repo_id, revision, line_no, TRY_CAST(TRY_CAST(json_extract_string(j, '$.task_index') AS DOUBLE) AS BIGINT) AS task_index, coalesce(json_extract_string(j, '$.__index_level_0__'), json_extract_string(j, '$.task')) AS task FROM (SELECT DISTINCT repo_id, revision, line_no, list_sort(list_transform(json_keys(CAST(record AS JSON)), lambda k: k || CAST(json_extract(CAST(record AS JSON), '$.\"' || k || '\"') AS VARCHAR))) AS content, any_value(CAST(record AS JSON)) AS j FROM task_records WHERE CASE WHEN json_valid(record) THEN json_type(record) = 'OBJECT' ELSE false END GROUP BY repo_id, revision, line_no, content)",
     "p3_found": _P3,
     "p1_found": _P1 + "SELECT * FROM found",
     "p1_report": _P1 + "SELECT src_table, ref_table, period, kind, count(*) AS refs, count(DISTINCT (dataset_id, ref_key)) AS keys FROM found GROUP BY ALL",
