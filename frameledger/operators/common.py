@@ -57,7 +57,8 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: str, block: Column,
     keys = list(keys)
     d = df.withColumn("_block", block)
     item = F.struct(order, *payload)
-    last = d.groupBy(*keys, "_block").agg(F.max(item).alias("_last"))
+    # apart, not as a struct: so numbers are aggregated by hashing, without a sort
+    last = d.groupBy(*keys, "_block").agg(F.max(order).alias(order), *(F.max_by(c, order).alias(c) for c in payload)).select(*keys, "_block", item.alias("_last"))
     carry = last.select(*keys, "_block", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carry"))
     inside = F.lag(item).over(Window.partitionBy(*keys, "_block").orderBy(order))
     return d.withColumn("_in", inside).join(carry, [*keys, "_block"], "left").withColumn(out, F.coalesce("_in", "_carry")).drop("_in", "_carry", "_block")

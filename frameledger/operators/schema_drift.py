@@ -11,6 +11,9 @@ their schemas written down; all later steps read those.
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import itertools
 import json
 import math
 from collections import Counter
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from frameledger.operators.common import cut, previous_row
 
 _FIELDS = "array<struct<scope:string,field:string,type:string,shape:string,same:string,value:string>>"
-_FIELD_TYPE = pa.list_(pa.struct([(x, pa.string()) for x in ("scope", "field", "type", "shape", "same", "value")]))
+_FIELD_NAMES = ("scope", "field", "type", "shape", "same", "value")
 _BLOCK = 256
 
 
@@ -57,27 +60,56 @@ def _object(text: str | None) -> dict | None:
     return v if isinstance(v, dict) else None
 
 
-def describe(body: dict) -> list[dict]:
-    """Fields of an info body; a key with value null is absent, and so is a feature. A feature's value is what it has besides dtype and shape."""
-    # a version given as a number reads as text: 3 and 3.0 both as 3.0
-    text = lambda k, v: v if isinstance(v, str) else repr(float(v)) if k == "codebase_version" and json_type(v) == "number" and abs(v) < 1e15 else canonical(v)
-    out = [{"scope": "info", "field": k, "type": json_type(v), "shape": None, "same": canonical(v), "value": text(k, v)} for k, v in body.items() if v is not None]
+def _plain(text: str) -> str:
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
+def _short(text: str) -> str:
+    """A text to tell values apart by: long ones by their digest."""
+    return text if len(text) <= 64 else hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
+@functools.lru_cache(1 << 16)
+def _feature(key: str, text: str) -> tuple[str, str, str, str | None, str]:
+    """type, shape, same, rest and canonical text of a feature given as JSON; `key` is what the cache goes by."""
+    v = json.loads(text)
+    dtype, shape = (v.get("dtype"), v.get("shape")) if isinstance(v, dict) else (json_type(v), None)
+    dtype, shape = dtype if isinstance(dtype, str) else canonical(dtype), canonical(shape)
+    rest = {a: x for a, x in v.items() if a not in ("dtype", "shape")} if isinstance(v, dict) else v
+    return _plain(dtype), _plain(shape), _plain(f"{dtype} {shape}"), None if rest == {} else _plain(canonical(rest)), canonical(v)
+
+
+def describe(body: dict) -> list[tuple[str, str, str, str | None, str, str | None]]:
+    """Fields of an info body as (scope, field, type, shape, same, value), in order; a key with value null is absent, and so is a feature.
+
+    A feature's value is what it has besides dtype and shape; the features as a whole have none.
+    """
+    out = []
     features = body.get("features")
-    for k, v in features.items() if isinstance(features, dict) else ():
+    texts = []
+    for k in sorted(features) if isinstance(features, dict) else ():
+        v = features[k]
+        name = _plain(k)
         if v is None:
+            texts.append(f"{json.dumps(k, ensure_ascii=False)}: null")
             continue
-        dtype, shape = (v.get("dtype"), v.get("shape")) if isinstance(v, dict) else (json_type(v), None)
-        dtype, shape = dtype if isinstance(dtype, str) else canonical(dtype), canonical(shape)
-        rest = {a: x for a, x in v.items() if a not in ("dtype", "shape")} if isinstance(v, dict) else v
-        out.append({"scope": "feature", "field": k, "type": dtype, "shape": shape, "same": f"{dtype} {shape}", "value": None if rest == {} else canonical(rest)})
-    for x in out:
-        x["field"] = x["field"].encode("utf-8", "replace").decode()
-        for k in ("type", "shape", "same", "value"):
-            x[k] = x[k] if x[k] is None else x[k].encode("utf-8", "replace").decode()
-    return sorted(out, key=lambda x: (x["scope"], x["field"]))
-
-
-def _described(text: str | None) -> list[dict] | None:
+        dtype, shape, same, rest, whole = _feature(repr(v), json.dumps(v))
+        texts.append(f"{json.dumps(k, ensure_ascii=False)}: {whole}")
+        out.append(("feature", name, dtype, shape, same, rest))
+    for k, v in body.items():
+        if v is None:
+            continue
+        if k == "features" and isinstance(v, dict):
+            out.append(("info", k, "object", None, _short("{" + ", ".join(texts) + "}"), None))
+            continue
+        kind, text = json_type(v), canonical(v)
+        # a version given as a number reads as text: 3 and 3.0 both as 3.0
+        value = v if isinstance(v, str) else repr(float(v)) if k == "codebase_version" and kind == "number" and abs(v) < 1e15 else text
+        out.append(("info", _plain(k), kind, None, _short(text), _plain(value)))
+    return sorted(out, key=lambda x: x[:2])
+
+
+def _described(text: str | None) -> list[tuple] | None:
     """Fields of a body; None for one that is no JSON object or nested too deep to be read."""
     try:
         return None if (body := _object(text)) is None else describe(body)
@@ -85,11 +117,19 @@ def _described(text: str | None) -> list[dict] | None:
         return None
 
 
+def _lists(rows: list[list[tuple]], names: Sequence[str]) -> pa.Array:
+    """Lists of structs of texts, built by columns."""
+    offsets = pa.array([0, *itertools.accumulate(map(len, rows))], pa.int32())
+    flat = list(itertools.chain.from_iterable(rows))
+    cols = zip(*flat, strict=True) if flat else [()] * len(names)
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in cols], list(names)))
+
+
 def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [_described(x) for x in b.column("body").to_pylist()]
         keep = pa.array([x is not None for x in got], pa.bool_())
-        fields = pa.array([x for x in got if x is not None], _FIELD_TYPE)
+        fields = _lists([x for x in got if x is not None], _FIELD_NAMES)
         yield pa.RecordBatch.from_arrays([*(b.column(c).filter(keep) for c in ("repo_id", "revision", "written", "file_id")), fields], names=["repo_id", "revision", "written", "file_id", "fields"])
 
 
@@ -190,8 +230,6 @@ TASK_TARGET = {"task_index": "bigint", "task": "string"}
 TASK_TEXT = "__index_level_0__"
 _OTHER = "array<struct<name:string,type:string,value:string>>"
 _FEATURES = "array<struct<name:string,dtype:string,shape:string,rest:string>>"
-_INFO_TYPE = pa.list_(pa.struct([(x, pa.string()) for x in ("name", "type", "value")]))
-_FEATURE_TYPE = pa.list_(pa.struct([(x, pa.string()) for x in ("name", "dtype", "shape", "rest")]))
 
 
 def _renames(schemas: DataFrame, scopes: Sequence[str], max_rules: int) -> list[Row]:
@@ -346,13 +384,12 @@ def schema_versions(table: DataFrame) -> DataFrame:
     return table.filter("version is not null").groupBy("version", F.col("applied").alias("steps")).agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct("repo_id").alias("repos"))
 
 
-def _record(text: str | None) -> list[dict] | None:
-    """Fields of a task record; None for one that is no JSON object or nested too deep to be read."""
+def _record(text: str | None) -> list[tuple[str, str, str]] | None:
+    """Fields of a task record as (name, type, value); None for one that is no JSON object or nested too deep to be read."""
     try:
         if (x := _object(text)) is None:
             return None
-        plain = lambda s: s.encode("utf-8", "replace").decode()
-        return sorted(({"name": plain(k), "type": json_type(v), "value": plain(v if isinstance(v, str) else canonical(v))} for k, v in x.items() if v is not None), key=lambda x: x["name"])
+        return sorted((_plain(k), json_type(v), _plain(v if isinstance(v, str) else canonical(v))) for k, v in x.items() if v is not None)
     except RecursionError:
         return None
 
@@ -361,7 +398,7 @@ def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [_record(x) for x in b.column("record").to_pylist()]
         keep = pa.array([x is not None for x in got], pa.bool_())
-        info = pa.array([x for x in got if x is not None], _INFO_TYPE)
+        info = _lists([x for x in got if x is not None], ("name", "type", "value"))
         yield pa.RecordBatch.from_arrays([*(b.column(c).filter(keep) for c in ("repo_id", "revision", "line_no")), info], names=["repo_id", "revision", "line_no", "info"])
 
 
