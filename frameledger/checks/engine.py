@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import concurrent.futures
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -69,14 +70,29 @@ def check(check_id: str, severity: Severity, requires_video: bool = False) -> Ca
 
 
 class CheckEngine:
-    """Runs every applicable check; one that raises gives an ERROR result and does not stop the others."""
+    """Runs every applicable check, `at_once` of them side by side; one that raises gives an ERROR result and does not stop the others. Results come in the order of registration."""
 
-    def __init__(self, checks: CheckRegistry = registry) -> None:
-        self.checks = checks
+    def __init__(self, checks: CheckRegistry = registry, at_once: int = 4) -> None:
+        self.checks, self.at_once = checks, at_once
 
     def run(self, ds: TrajectoryDataset, ctx: CheckContext | None = None) -> list[CheckResult]:
         ctx = ctx or CheckContext()
-        return [self._one(c, ds, ctx) for c in self.checks.all_checks() if not c.requires_video or ds.cameras]
+        wanted = [c for c in self.checks.all_checks() if not c.requires_video or ds.cameras]
+        if self.at_once <= 1 or len(wanted) < 2:
+            return [self._one(c, ds, ctx) for c in wanted]
+        tags = ds.spark.getTags()
+
+        def one(c: Any) -> CheckResult:
+            for t in tags:  # so that what cancels the caller's jobs cancels these
+                ds.spark.addTag(t)
+            try:
+                return self._one(c, ds, ctx)
+            finally:
+                for t in tags:
+                    ds.spark.removeTag(t)
+
+        with concurrent.futures.ThreadPoolExecutor(self.at_once) as pool:
+            return list(pool.map(one, wanted))
 
     @staticmethod
     def _one(c: Any, ds: TrajectoryDataset, ctx: CheckContext) -> CheckResult:

@@ -41,8 +41,9 @@ def _values(ds: TrajectoryDataset, names: list[str]) -> DataFrame:
 
 def _moments(ds: TrajectoryDataset, names: list[str]) -> DataFrame:
     """Moments of every numeric feature by episode, computed once for all checks of this module."""
-    if "moments" not in ds.shared:
-        ds.shared["moments"] = ds.keep(moments(_values(ds, _features(ds, [f for f in ds.features if f.is_numeric])), ["ord", "feature"]))
+    with ds.lock:
+        if "moments" not in ds.shared:
+            ds.shared["moments"] = ds.keep(moments(_values(ds, _features(ds, [f for f in ds.features if f.is_numeric])), ["ord", "feature"]))
     return ds.shared["moments"].filter(F.col("feature").isin(names))
 
 
@@ -59,17 +60,11 @@ def _with_order(ds: TrajectoryDataset, m: DataFrame, keys: list[str], names: lis
 
 
 def _numbers(value: Any) -> list[float] | None:
-    """Numbers of a (nested) list or a number; None if anything else is in it."""
+    """Numbers of a (nested) list or a number, nulls and whatever else is in it left out; None if there are none."""
     if isinstance(value, int | float):
         return [float(value)]
-    if not isinstance(value, list):
-        return None
-    out: list[float] = []
-    for x in value:
-        if (got := _numbers(x)) is None:
-            return None
-        out += got
-    return out
+    out = [x for item in value for x in _numbers(item) or ()] if isinstance(value, list) else []
+    return out or None
 
 
 @check("STATISTICAL.STATS_MATCH_DATA", Severity.FAIL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 import json
 import sys
 from pathlib import Path
@@ -73,5 +74,6 @@ def main(argv: list[str] | None = None) -> int:
     print(audit.summary_text(runs))
     if x.out:
         summary = audit.status_summary(runs).first().asDict()
-        Path(x.out).write_text(json.dumps({"summary": summary, "datasets": [json.loads(s) for s in runs.toJSON().collect()]}, indent=2), encoding="utf-8")
+        about = {"generated_at": datetime.datetime.now(datetime.UTC).isoformat(), "version": __version__, "timeout_seconds": x.timeout}
+        Path(x.out).write_text(json.dumps({**about, "summary": summary, "datasets": [json.loads(s) for s in runs.toJSON().collect()]}, indent=2), encoding="utf-8")
     return 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import json
 import os
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +21,18 @@ from frameledger.sources.info import Feature, Info, check_version, load_info
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
 
 
+def once(make: Callable) -> property:
+    """A property worked out once, also when checks that run side by side ask for it together."""
+
+    def get(self):
+        with self.lock:
+            if make.__name__ not in self.made:
+                self.made[make.__name__] = make(self)
+            return self.made[make.__name__]
+
+    return property(get, doc=make.__doc__)
+
+
 @dataclass
 class TrajectoryDataset:
     """A dataset's metadata on the driver, its records as DataFrames.
@@ -39,6 +53,8 @@ class TrajectoryDataset:
     is_remote: bool = False
     kept: list[DataFrame] = field(default_factory=list)
     shared: dict[str, DataFrame] = field(default_factory=dict)  # what checks leave for each other
+    made: dict = field(default_factory=dict)
+    lock: threading.RLock = field(default_factory=threading.RLock)
 
     @property
     def features(self) -> list[Feature]:
@@ -53,7 +69,7 @@ class TrajectoryDataset:
     def cameras(self) -> list[str]:
         return sorted(f.name for f in self.features if f.is_video)
 
-    @functools.cached_property
+    @once
     def num_episodes(self) -> int:
         return self.episodes.count()
 
@@ -66,12 +82,12 @@ class TrajectoryDataset:
         for df in self.kept:
             df.unpersist()
 
-    @functools.cached_property
+    @once
     def footers(self) -> DataFrame:
         paths = self.episodes.select(F.col("shard").alias("path")).dropna().distinct()
         return self.keep(read_footers(paths, self.root))
 
-    @functools.cached_property
+    @once
     def broken_shards(self) -> list[tuple[int, int, str]]:
         """(ord, episode_index, why) of the first episode without a readable data file, if any."""
         e = self.episodes.join(self.footers.select(F.col("path").alias("shard"), "error"), "shard", "left").filter("problem is not null or error is not null")
@@ -108,12 +124,12 @@ class TrajectoryDataset:
         who = self.episodes.select("ord", "episode_index", F.col("shard").alias("path"))
         return out.withColumn("episode_index", F.col("episode_index").cast("bigint")).join(who, ["path", "episode_index"])
 
-    @functools.cached_property
+    @once
     def extents(self) -> DataFrame:
         """ord, first, last, n: places of an episode's rows in its file; a row per episode, kept."""
         return self.keep(self.frames([]).groupBy("ord").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count(F.lit(1)).alias("n")))
 
-    @functools.cached_property
+    @once
     def scattered(self) -> bool:
         """Whether some episode's rows do not stand together in its file."""
         return not self.extents.filter("last - first + 1 <> n").isEmpty()
@@ -178,22 +194,28 @@ def resolve(ref: str) -> str:
     raise SourceResolutionError(f"{ref!r} is no directory; datasets of a remote hub must be staged as a directory or an object-store URI")
 
 
-def load(spark: SparkSession, ref: str) -> TrajectoryDataset:
+def remote(root: str) -> bool:
+    """Whether a root lies in an object store or behind a network protocol, where what reads all data waits for `deep`; files and the cluster's own HDFS do not count."""
+    return root.partition("://")[0] not in ("file", "hdfs", "viewfs") if "://" in root else False
+
+
+def load(spark: SparkSession, ref: str, max_episodes: int = MAX_EPISODES, max_frames: int = MAX_FRAMES) -> TrajectoryDataset:
+    """The dataset of a reference; one that declares or holds more than the given numbers is an error."""
     root = resolve(ref)
     info = load_info(root)
     version = check_version(root, info)
-    check_bound(info.total_episodes or 0, MAX_EPISODES, "declared episodes")
-    check_bound(info.total_frames or 0, MAX_FRAMES, "declared frames")
+    check_bound(info.total_episodes or 0, max_episodes, "declared episodes")
+    check_bound(info.total_frames or 0, max_frames, "declared frames")
     cameras = sorted(f.name for f in info.features.values() if f.is_video)
     for c in cameras:
         contained(root, "videos", c)
     build = _v3 if version == "v3.0" else _v2
-    episodes, tasks, segments = build(spark, root, cameras)
-    return TrajectoryDataset(spark, root, ref, version, info, episodes, tasks, segments)
+    episodes, tasks, segments = build(spark, root, cameras, max_episodes)
+    return TrajectoryDataset(spark, root, ref, version, info, episodes, tasks, segments, remote(root))
 
 
 def _numbered(df: DataFrame, *order: str) -> DataFrame:
-    """`ord` by order: one sorted scan of the episode records, of which there are MAX_EPISODES at most."""
+    """`ord` by order: one sorted scan of the episode records, whose number is bounded."""
     return df.withColumn("ord", F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
 
 
@@ -202,7 +224,7 @@ def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.persist()
 
 
-def _v3(spark: SparkSession, root: str, cameras: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _v3(spark: SparkSession, root: str, cameras: list[str], most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     uri = root if "://" in root else f"file://{root}"
     paths = sorted(p for p in listing(root, "meta/episodes") if p.rsplit("/", 1)[-1].startswith("file-") and p.endswith(".parquet") and p.split("/")[-2].startswith("chunk-"))
     if not paths:
@@ -213,7 +235,7 @@ def _v3(spark: SparkSession, root: str, cameras: list[str]) -> tuple[DataFrame,
     if lack := [c for c in [*whole, "tasks", *video] if c not in raw.columns]:
         raise DatasetFormatError(f"meta/episodes lacks column {lack[0]!r}")
     raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    check_bound(raw.limit(MAX_EPISODES + 1).count(), MAX_EPISODES, "episodes")
+    check_bound(raw.limit(most + 1).count(), most, "episodes")
     if not raw.filter(" or ".join(f"`{c}` is null" for c in whole)).isEmpty():
         raise DatasetFormatError("meta/episodes has a null in a required column")
     d = _numbered(raw, "episode_index", "_file", "_row")
@@ -247,13 +269,13 @@ def _last_tasks(t: DataFrame) -> DataFrame:
     return t.groupBy("task_index").agg(F.max_by("task", "row").alias("task"), F.min("row").alias("ord"))
 
 
-def json_lines(spark: SparkSession, root: str, path: str, schema: str, required: list[str]) -> DataFrame:
+def json_lines(spark: SparkSession, root: str, path: str, schema: str, required: list[str], most: int = MAX_EPISODES) -> DataFrame:
     """Records of a JSON-lines file with `row`; blank lines are skipped, a line that is no object or lacks a required key is an error."""
     if not exists(root, path):
         raise DatasetFormatError(f"{path} is missing")
     uri = root if "://" in root else f"file://{root}"
     lines = spark.read.text(f"{uri}/{path}").select("value", F.monotonically_increasing_id().alias("row")).filter(F.trim("value") != "")
-    check_bound(lines.limit(MAX_EPISODES + 1).count(), MAX_EPISODES, path)
+    check_bound(lines.limit(most + 1).count(), most, path)
     d = lines.withColumn("r", F.from_json("value", schema)).withColumn("_keys", F.json_object_keys("value"))
     gone = [~F.array_contains("_keys", k) | F.col(f"r.{k}").isNull() for k in required]
     # from_json gives a row of nulls for other values, json_object_keys null
@@ -263,9 +285,9 @@ def json_lines(spark: SparkSession, root: str, path: str, schema: str, required:
     return d.select("row", "r.*")
 
 
-def _v2(spark: SparkSession, root: str, cameras: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tasks = json_lines(spark, root, "meta/tasks.jsonl", "task_index bigint, task string", ["task_index", "task"])
-    e = json_lines(spark, root, "meta/episodes.jsonl", "episode_index bigint, tasks array<string>, length bigint", ["episode_index", "tasks", "length"])
+def _v2(spark: SparkSession, root: str, cameras: list[str], most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tasks = json_lines(spark, root, "meta/tasks.jsonl", "task_index bigint, task string", ["task_index", "task"], most)
+    e = json_lines(spark, root, "meta/episodes.jsonl", "episode_index bigint, tasks array<string>, length bigint", ["episode_index", "tasks", "length"], most)
     upto = Window.orderBy("episode_index", "row").rowsBetween(Window.unboundedPreceding, 0)
     e = _numbered(e, "episode_index", "row").withColumn("dataset_to_index", F.sum("length").over(upto)).withColumn("dataset_from_index", F.col("dataset_to_index") - F.col("length"))
 
@@ -307,13 +329,14 @@ def stored_episode_stats(ds: TrajectoryDataset, features: list[str]) -> DataFram
         if not exists(ds.root, "meta/episodes_stats.jsonl"):
             return ds.spark.createDataFrame([], "episode_index bigint, feature string, mean array<double>, std array<double>")
         uri = ds.root if "://" in ds.root else f"file://{ds.root}"
-        lines = ds.spark.read.text(f"{uri}/meta/episodes_stats.jsonl").select(F.from_json("value", "episode_index bigint, stats map<string,map<string,string>>").alias("r"), F.monotonically_increasing_id().alias("row"))
+        lines = ds.spark.read.text(f"{uri}/meta/episodes_stats.jsonl").select(F.from_json("value", "episode_index bigint, stats map<string,map<string,variant>>").alias("r"), F.monotonically_increasing_id().alias("row"))
         d = lines.filter("r.episode_index is not null and r.stats is not null").groupBy("r.episode_index").agg(F.min_by("r.stats", "row").alias("stats"))
         d = d.select("episode_index", F.explode("stats").alias("feature", "s")).filter(F.col("feature").isin(features))
-        return d.select("episode_index", "feature", *(_numbers(F.element_at("s", F.lit(k))).alias(k) for k in ("mean", "std")))
+        return d.select("episode_index", "feature", *(_numbers(F.to_json(F.element_at("s", F.lit(k)))).alias(k) for k in ("mean", "std")))
     uri = ds.root if "://" in ds.root else f"file://{ds.root}"
     paths = sorted(p for p in listing(ds.root, "meta/episodes") if p.endswith(".parquet"))
-    raw = ds.spark.read.option("mergeSchema", "true").parquet(*(f"{uri}/{p}" for p in paths))
+    # a file that cannot be read has no statistics, and does not stop the others
+    raw = ds.spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(*(f"{uri}/{p}" for p in paths))
     have = dict(raw.dtypes)
     rows = []
     for f in features:
@@ -328,17 +351,23 @@ def stored_episode_stats(ds: TrajectoryDataset, features: list[str]) -> DataFram
 
 
 def _flat(c, kind: str):
-    """Numbers of a scalar, list or nested list column in order; null if any is."""
+    """Numbers of a scalar, list or nested list column in order, nulls left out; null if there are none."""
     depth = kind.count("array<")
     if depth == 0:
         return F.when(c.isNotNull(), F.array(c.cast("double")))
     for _ in range(depth - 1):
-        c = F.flatten(c)
-    return c.cast("array<double>")
+        c = F.flatten(F.filter(c, lambda x: x.isNotNull()))
+    return _some(c.cast("array<double>"))
+
+
+def _some(values):
+    """The numbers among values, null if there are none."""
+    found = F.filter(values, lambda v: v.isNotNull())
+    return F.when(F.size(found) > 0, found)
 
 
 def _numbers(text):
-    """Numbers of a JSON number or (nested) list of numbers given as text; null if any item is none."""
-    items = F.split(F.regexp_replace(text, r"[\[\]\s\"]", ""), ",")
-    value = F.transform(items, lambda x: F.when(x == "true", 1.0).when(x == "false", 0.0).otherwise(x.try_cast("double")))
-    return F.when(text.isNotNull() & ~F.exists(value, lambda v: v.isNull()), value)
+    """Numbers of a JSON number or (nested) list given as JSON text; texts (also such of digits), nulls and objects in it are left out; null if there are none."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*"', "t"), r"\{[^{}]*\}", "t")
+    items = F.split(F.regexp_replace(bare, r"[\[\]\s]", ""), ",")
+    return _some(F.transform(items, lambda x: F.when(x == "true", 1.0).when(x == "false", 0.0).otherwise(x.try_cast("double"))))

@@ -22,12 +22,12 @@ class Layout:
     def __init__(self, episodes: int = 3, frames: int = 4, fps: int = 30, version: str = "v3.0", camera: str | None = "top") -> None:
         self.version, self.fps, self.cameras = version, fps, [camera] if camera else []
         self.features: dict[str, Any] = {k: {"dtype": t, "shape": [1], "names": None} for k, t in CORE.items()}
-        self.features |= {c: {"dtype": "video", "shape": [3, 64, 64], "names": None} for c in self.cameras}
+        self.features |= {c: {"dtype": "video", "shape": [3, 48, 80], "names": None} for c in self.cameras}
         self.totals: dict[str, Any] = {"total_episodes": episodes, "total_frames": episodes * frames}
         self.types = {k: ARROW[t] for k, t in CORE.items()}
-        self.episodes = [{"episode_index": e, "length": frames, "tasks": ["do the thing"], "dataset_from_index": e * frames, "dataset_to_index": (e + 1) * frames} for e in range(episodes)]
+        self.episodes = [{"episode_index": e, "length": frames, "tasks": ["stack the crates"], "dataset_from_index": e * frames, "dataset_to_index": (e + 1) * frames} for e in range(episodes)]
         self.rows = [{"timestamp": float(np.float32(i / fps)), "frame_index": i, "episode_index": e, "index": e * frames + i, "task_index": 0} for e in range(episodes) for i in range(frames)]
-        self.tasks: list[dict] = [{"task_index": 0, "task": "do the thing"}]
+        self.tasks: list[dict] = [{"task_index": 0, "task": "stack the crates"}]
         self.stats: Any = None
         self.episode_stats: dict[int, dict] = {}
         self.video = BOX

@@ -15,7 +15,7 @@ from frameledger.checks import CheckContext, CheckEngine, CheckRegistry, registr
 from frameledger.checks.engine import Check
 from frameledger.checks.video import walk_boxes
 from frameledger.errors import CheckExecutionError
-from frameledger.sources.loader import load
+from frameledger.sources.loader import load, remote
 from frameledger.verdict import CheckResult, Severity
 
 F32 = pa.list_(pa.float32())
@@ -233,6 +233,39 @@ def test_v21_stats(spark, tmp_path):
     assert run(spark, x, tmp_path, "STATISTICAL.PER_EPISODE_STATS_MATCH").severity is Severity.WARN
 
 
+def test_nulls_and_texts_in_stored_stats_leave_the_numbers(spark, tmp_path):
+    """Beside a null the other numbers are still compared; numbers given as texts are none."""
+    x = moving(Layout(2, version="v2.1"))
+    x.stats = {"action": {"mean": [None, 99.0], "std": [None, 99.0, "7"]}, "index": {"mean": "99", "std": [[None], "99"]}}
+    x.episode_stats = {0: {"action/mean": [None, 99.0], "action/std": [99.0, None], "index/mean": "99", "index/std": ["99"]}}
+    ds = load(spark, x.write(tmp_path))
+    got = {r.check_id: r.details.get("violations", []) for r in CheckEngine().run(ds)}
+    ds.close()
+    assert [v.split(":")[0] for v in got["STATISTICAL.STATS_MATCH_DATA"]] == ["feature 'action'", "feature 'action'"]
+    assert [v.split(":")[0] for v in got["STATISTICAL.PER_EPISODE_STATS_MATCH"]] == ["episode 0 feature 'action'"] * 2
+
+
+def test_remote_data_wait_for_deep(spark, tmp_path):
+    assert [remote(x) for x in ("/a", "file:///a", "hdfs://n/a", "s3://b/a", "https://h/a")] == [False, False, False, True, True]
+    slow = ("STATISTICAL.STATS_MATCH_DATA", "STATISTICAL.PER_EPISODE_STATS_MATCH", "STATISTICAL.VALUE_SANITY", "VIDEO.DECODABLE_SPOTCHECK")
+    x = moving(Layout(2))
+    x.stats = {"action": {"mean": [9.0], "std": [9.0]}}
+    ds = load(spark, x.write(tmp_path))
+    assert not ds.is_remote
+    ds.is_remote = True
+    for deep in (False, True):
+        got = {r.check_id: r for r in CheckEngine().run(ds, CheckContext(deep=deep))}
+        assert [got[c].message.startswith("Skipped: too slow") for c in slow] == [not deep] * 4
+        assert (got[slow[0]].severity is Severity.FAIL) == deep
+    ds.close()
+
+
+def test_side_by_side_as_one_by_one(spark, tmp_path):
+    ds = load(spark, shift("timestamp", lambda t, r: t + 0.5 * (r["frame_index"] == 2))(moving(Layout(3))).write(tmp_path))
+    assert CheckEngine(at_once=6).run(ds) == CheckEngine(at_once=1).run(ds)
+    ds.close()
+
+
 def test_intrinsics(spark, tmp_path):
     name = "observation.camera_intrinsics"
     for sign, n in ((1.0, 0), (-1.0, 1)):
