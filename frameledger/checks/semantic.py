@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frameledger.checks.engine import CheckContext, check, found, passed, require_shards
 from frameledger.errors import CheckExecutionError
 from frameledger.functions.columns import is_blank
-from frameledger.operators.series import undefined, without_text
+from frameledger.operators.series import intrinsics, undefined, without_text
 from frameledger.sources.info import Feature
 from frameledger.sources.loader import TrajectoryDataset
 from frameledger.verdict import CheckResult, Severity
@@ -73,22 +73,17 @@ def camera_intrinsics(ds: TrajectoryDataset, ctx: CheckContext) -> CheckResult:
     if not features:
         return passed(me, "Skipped: no camera intrinsics are declared.")
     names = [f.name for f in features]
-    first = ds.frames(names, optional=True).filter("ord = 0").orderBy("row").select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names))).limit(1).collect()
+    first = ds.frames(names, optional=True).filter("ord = 0").orderBy("row").limit(1)
+    arrays = [F.col(f"`{n}`").cast("array<double>") if dict(first.dtypes)[n].startswith("array") else F.when(F.col(f"`{n}`").isNotNull(), F.array(F.col(f"`{n}`").cast("double"))) for n in names]
+    row = first.select(*(F.struct(F.size(v).alias("size"), *(x.alias(k) for k, x in intrinsics(v).items())).alias(f"c{i}") for i, v in enumerate(arrays))).collect()
     items = []
-    for i, n in enumerate(names):
-        v = first[0][i] if first else None
-        if v is None:
-            continue
-        v = [float(x) for x in (v if isinstance(v, list) else [v])]
-        if len(v) < 4:
-            items.append(f"feature {n!r}: {len(v)} values, at least 4 are needed")
-            continue
-        # fixed values: places of fx, fy, cx, cy in a 3 x 3 matrix and in a flat list
-        fx, fy, cx, cy = (v[0], v[4], v[2], v[5]) if len(v) >= 9 else v[:4]
-        if fx <= 0 or fy <= 0:
-            items.append(f"feature {n!r}: focal lengths {fx:.4f}, {fy:.4f} are not positive")
-        if cx <= 0 or cy <= 0:
-            items.append(f"feature {n!r}: principal point {cx:.4f}, {cy:.4f} is not positive")
+    for n, k in zip(names, row[0] if row else (), strict=False):
+        if k.short:
+            items.append(f"feature {n!r}: {k.size} values, at least 4 are needed")
+        if k.focal:
+            items.append(f"feature {n!r}: focal lengths {k.fx:.4f}, {k.fy:.4f} are not positive")
+        if k.centre:
+            items.append(f"feature {n!r}: principal point {k.cx:.4f}, {k.cy:.4f} is not positive")
     if items:
         return found(me, Severity.INFO, "Camera intrinsics are implausible", items, "violations", intrinsics_features=names)
     return passed(me, f"Camera intrinsics look plausible: {', '.join(names)}.", intrinsics_features=names)

@@ -162,6 +162,16 @@ def sanity(m: DataFrame) -> DataFrame:
     return m.filter("n > 0").withColumn("findings", found).filter(F.size("findings") > 0)
 
 
+def intrinsics(v: Column) -> dict[str, Column]:
+    """What is wrong with an array<double> read as a camera matrix (row by row, or fx, fy, cx, cy): short, or focal lengths or principal point not positive; NaN and null are never wrong."""
+    # fixed values: places of fx, fy, cx, cy in a 3 x 3 matrix and in a flat list
+    wide, enough = F.size(v) >= 9, F.size(v) >= 4
+    at = lambda matrix, flat: F.when(wide, F.get(v, F.lit(matrix))).otherwise(F.get(v, F.lit(flat)))
+    fx, fy, cx, cy = at(0, 0), at(4, 1), at(2, 2), at(5, 3)
+    low = lambda a, b: F.coalesce(enough & (py_le(a, F.lit(0.0)) | py_le(b, F.lit(0.0))), F.lit(False))
+    return {"short": v.isNotNull() & ~enough, "focal": low(fx, fy), "centre": low(cx, cy), "fx": fx, "fy": fy, "cx": cx, "cy": cy}
+
+
 def without_text(df: DataFrame, texts: str) -> DataFrame:
     """Rows whose array of texts has none that is more than white space (null and empty arrays too)."""
     return df.filter(~F.coalesce(F.exists(texts, lambda t: ~is_blank(t)), F.lit(False)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameledger import audit
+from frameledger.checks import registry
 from frameledger.functions.columns import finite, is_blank, plain_source, py_gt
 from frameledger.operators import series
 from frameledger.operators.common import read
@@ -53,6 +54,13 @@ def check_feature_dimensionality(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("dataset_id", "declared").agg(F.count(F.lit(1)).alias("episodes"), F.count_if(F.col("x.n") != F.col("declared")).alias("off"))
 
 
+def check_intrinsics(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the first row of each label read as camera matrices: the rule on focal lengths and principal points."""
+    e = read(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("k"))
+    f = series.intrinsics(F.col("k").cast("array<double>"))
+    return e.select("label", F.explode(F.filter(F.array(F.when(f["short"], "short"), F.when(f["focal"], "focal length"), F.when(f["centre"], "principal point")), lambda x: x.isNotNull())).alias("finding"))
+
+
 def check_task_integrity(spark: SparkSession, d: str) -> DataFrame:
     """Task numbers of frames that no task has, and tasks without a text."""
     t = read(spark, d, "tasks")
@@ -78,6 +86,27 @@ def check_per_episode_stats(spark: SparkSession, d: str) -> DataFrame:
     return j.filter(series.off_tolerance(F.col("stored"), F.col("mean"), 0.5)).select(*EP)
 
 
+#: Fixed value: statistics count as stored when only the frames before this one were there.
+STORED_UP_TO = 40
+
+
+def _match(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
+    """keys, mean_off, std_off: statistics of the first frames of each episode, as stored, against those of all, by the check's own tolerance."""
+    v = series.values_of(_frames(spark, d, "action"), [*EP, "frame_index"], {"action": F.col("action").cast("array<double>")})
+    v = v.withColumn("value", F.when(finite(F.col("value")), F.col("value")).otherwise(float("nan")))
+    stored = series.moments(v.filter(F.col("frame_index") < STORED_UP_TO), keys).select(*keys, F.col("mean").alias("mean0"), F.col("std").alias("std0"))
+    j = series.moments(v, keys).join(stored, keys)
+    return j.select(*keys, series.off_tolerance(F.col("mean0"), F.col("mean")).alias("mean_off"), series.off_tolerance(F.col("std0"), F.col("std")).alias("std_off"))
+
+
+def check_stats_match(spark: SparkSession, d: str) -> DataFrame:
+    return _match(spark, d, ["dataset_id"])
+
+
+def check_episode_stats_match(spark: SparkSession, d: str) -> DataFrame:
+    return _match(spark, d, EP).filter("mean_off or std_off")
+
+
 def check_value_sanity(spark: SparkSession, d: str) -> DataFrame:
     s = series.sanity(series.moments(_components(spark, d), [*EP, "item"]))
     return s.select(*EP, F.col("item").cast("bigint").alias("item"), F.explode("findings").alias("finding"))
@@ -112,9 +141,11 @@ def check_metadata_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def check_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Data files that episodes name and no shard lists."""
-    e = read(spark, d, "episodes").select("dataset_id", "data/chunk_index", "data/file_index")
-    return series.undefined(e, read(spark, d, "data_shards"), ["dataset_id", "data/chunk_index", "data/file_index"]).withColumnsRenamed({"data/chunk_index": "chunk_index", "data/file_index": "file_index"})
+    """Data files that episodes name and no shard lists ('absent'), and those listed that no episode names ('unnamed')."""
+    keys = ["dataset_id", "data/chunk_index", "data/file_index"]
+    e, s = read(spark, d, "episodes").select(*keys), read(spark, d, "data_shards").select(*keys)
+    both = series.undefined(e, s, keys).withColumn("side", F.lit("absent")).unionByName(series.undefined(s, e, keys).withColumn("side", F.lit("unnamed")))
+    return both.withColumnsRenamed({"data/chunk_index": "chunk_index", "data/file_index": "file_index"})
 
 
 def check_monotonic(spark: SparkSession, d: str) -> DataFrame:
@@ -137,9 +168,9 @@ def _drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def check_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Per dataset: total drift, and the first episode by which it has passed a tenth of a second."""
+    """Per dataset: total drift, and the first episode by which it has passed what decoders tolerate."""
     r = series.running_totals(_drift(spark, d), ["dataset_id"], "episode_index")
-    return r.groupBy("dataset_id").agg(F.round(F.sum("total"), 4).alias("total"), F.min(F.when(py_gt(F.col("running"), F.lit(0.1)), F.col("episode_index"))).alias("first_breach"))
+    return r.groupBy("dataset_id").agg(F.round(F.sum("total"), 4).alias("total"), F.min(F.when(py_gt(F.col("running"), F.lit(1e-4)), F.col("episode_index"))).alias("first_breach"))
 
 
 def check_video_files(spark: SparkSession, d: str) -> DataFrame:
@@ -148,10 +179,20 @@ def check_video_files(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("dataset_id", "camera").agg(F.countDistinct("chunk_index", "file_index").alias("files"), F.count(F.lit(1)).alias("segments"))
 
 
+CHECKS = [c.id for c in registry.all_checks()]
+
+
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    """dataset_id, check_id, severity: the outcome of some checks on each dataset."""
+    """dataset_id, check_id, severity: the outcome of the sixteen checks on each dataset; those that these tables have nothing for (stored statistics, intrinsics, video files) are skipped, which is INFO."""
     every = read(spark, d, "datasets").select("dataset_id").distinct()
+    sane = check_value_sanity(spark, d)
     bad: list[tuple[str, DataFrame, Column]] = [
+        ("SEMANTIC.FEATURE_DIMENSIONALITY", check_feature_dimensionality(spark, d).filter("off > 0"), F.lit("FAIL")),
+        ("STATISTICAL.VALUE_SANITY", sane, F.when(F.col("finding") == "all NaN", "FAIL").otherwise("WARN")),
+        ("STRUCTURAL.SCHEMA_CONSISTENCY", check_schema_consistency(spark, d).filter("held <> 'same'"), F.lit("FAIL")),
+        ("STRUCTURAL.INDEX_CONTINUITY", check_index_continuity(spark, d), F.lit("FAIL")),
+        ("STRUCTURAL.PATH_TEMPLATE_RESOLVES", check_paths(spark, d).filter("side = 'absent'"), F.lit("FAIL")),
+        ("KNOWNBUG.TIMESTAMP_DRIFT", check_drift(spark, d).filter("first_breach is not null"), F.lit("FAIL")),
         ("SEMANTIC.TASK_INTEGRITY", check_task_integrity(spark, d), F.lit("FAIL")),
         ("SEMANTIC.LANGUAGE_PRESENT", check_language_present(spark, d), F.lit("WARN")),
         ("STRUCTURAL.METADATA_DATA_AGREEMENT", check_metadata_agreement(spark, d), F.lit("FAIL")),
@@ -163,7 +204,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
         one = df.select("dataset_id", F.lit(name).alias("check_id"), s.alias("severity"))
         found = one if found is None else found.unionByName(one)
     worst = found.groupBy("dataset_id", "check_id").agg(F.min("severity").alias("severity"))  # FAIL sorts before WARN
-    ids = every.select("dataset_id", F.explode(F.array(*(F.lit(n) for n, _, _ in bad))).alias("check_id"))
+    ids = every.select("dataset_id", F.explode(F.array(*map(F.lit, CHECKS))).alias("check_id"))
     return ids.join(worst, ["dataset_id", "check_id"], "left").withColumn("severity", F.coalesce("severity", F.lit("INFO")))
 
 
@@ -184,11 +225,11 @@ def audit_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def audit_top_checks(spark: SparkSession, d: str) -> DataFrame:
     """The checks that fire most often (a top-k report)."""
-    return audit.top_checks(_runs(spark, d), 3)
+    return audit.top_checks(_runs(spark, d))
 
 
 def audit_known_defects(spark: SparkSession, d: str) -> DataFrame:
-    return audit.known_defects(_runs(spark, d), {"spacing": "TEMPORAL.TIMESTAMP_SPACING", "agreement": "STRUCTURAL.METADATA_DATA_AGREEMENT"})
+    return audit.known_defects(_runs(spark, d), audit.KNOWN)
 
 
 def series_last_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -205,9 +246,9 @@ def orders_lines_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def undefined_references(spark: SparkSession, d: str) -> DataFrame:
-    """Orders without customers and customers without orders."""
-    o, c = read(spark, d, "orders").select(F.col("o_custkey").alias("k")), read(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    return series.undefined(o, c, ["k"]).withColumn("side", F.lit("orders")).unionByName(series.undefined(c, o, ["k"]).withColumn("side", F.lit("customer")))
+    """Orders without lines and lines without orders."""
+    o, c = read(spark, d, "orders").select(F.col("o_orderkey").alias("k")), read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return series.undefined(o, c, ["k"]).withColumn("side", F.lit("orders")).unionByName(series.undefined(c, o, ["k"]).withColumn("side", F.lit("lineitem")))
 
 
 def embedding_moments(spark: SparkSession, d: str) -> DataFrame:
@@ -237,7 +278,7 @@ def event_properties(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = [
-    check_feature_dimensionality, check_task_integrity, check_language_present, check_stats, check_per_episode_stats, check_value_sanity, check_version, check_schema_consistency,
+    check_feature_dimensionality, check_intrinsics, check_task_integrity, check_language_present, check_stats, check_per_episode_stats, check_stats_match, check_episode_stats_match, check_value_sanity, check_version, check_schema_consistency,
     check_index_continuity, check_metadata_agreement, check_paths, check_monotonic, check_spacing, check_drift, check_video_files, dataset_scores, audit_summary, audit_top_checks,
     audit_known_defects, series_last_runs, orders_lines_agreement, undefined_references, embedding_moments, event_spacing, source_spellings, event_properties,
 ]
@@ -258,10 +299,34 @@ _STEP = """s AS (SELECT dataset_id, episode_index, frame_index, CAST(ts AS DOUBL
 mono AS (SELECT dataset_id, episode_index, min(frame_index) AS frame_index FROM s WHERE t <= b AND NOT isnan(t) AND NOT isnan(b) GROUP BY ALL),
 off AS (SELECT s.*, abs(t - b - 1.0 / fps) AS dev, 1.0 / fps AS ideal FROM s JOIN fps USING (dataset_id) WHERE b IS NOT NULL),
 space AS (SELECT dataset_id, episode_index, min(frame_index) AS frame_index, CASE WHEN arg_min(dev > ideal, frame_index) THEN 'fail' ELSE 'warn' END AS level FROM off WHERE NOT isnan(dev) AND (dev > ideal OR dev > 1e-4) GROUP BY ALL)"""
-_RES = f"""WITH {_F}, {_E}, {_TASK}, {_LANG}, {_AGREE}, {_STEP},
-hit AS (SELECT dataset_id, 'SEMANTIC.TASK_INTEGRITY' AS check_id, 'FAIL' AS severity FROM task UNION ALL SELECT dataset_id, 'SEMANTIC.LANGUAGE_PRESENT', 'WARN' FROM lang
+_SANE = "m AS (SELECT dataset_id, episode_index, item, count(*) AS n, count(value) AS k, count(*) FILTER (value <> 0) AS nz, min(value) AS lo, max(value) AS hi FROM v GROUP BY ALL)"
+_HELD = "held AS (SELECT * FROM (VALUES ('dataset_id', 'int64'), ('episode_index', 'int64'), ('frame_index', 'int64'), ('index', 'int64'), ('timestamp', 'float32'), ('task_index', 'int64'), ('action', 'float32')) AS t(feature, kind))"
+_POS = "g AS (SELECT DISTINCT dataset_id, episode_index, frame_index, \"index\" AS i FROM frames WHERE frame_index IS NOT NULL), p AS (SELECT *, frame_index - min(frame_index) OVER (PARTITION BY dataset_id, episode_index) AS pos FROM g)"
+_DRIFT = "dt AS (SELECT dataset_id, episode_index, sum(abs(CAST(ts AS DOUBLE) - CAST(CAST(CAST(frame_index AS DOUBLE) * (1.0 / fps) AS FLOAT) AS DOUBLE))) AS total FROM (SELECT DISTINCT dataset_id, episode_index, frame_index, ts FROM f WHERE isfinite(ts)) JOIN fps USING (dataset_id) GROUP BY ALL), dr AS (SELECT *, sum(total) OVER (PARTITION BY dataset_id ORDER BY episode_index ROWS UNBOUNDED PRECEDING) AS running FROM dt)"
+_KEYS = '"data/chunk_index" IS NOT NULL AND "data/file_index" IS NOT NULL'
+_ABSENT = f"""SELECT DISTINCT dataset_id, "data/chunk_index" AS chunk_index, "data/file_index" AS file_index, 'absent' AS side FROM episodes ANTI JOIN data_shards USING (dataset_id, "data/chunk_index", "data/file_index") WHERE {_KEYS}"""
+_UNNAMED = f"""SELECT DISTINCT dataset_id, "data/chunk_index", "data/file_index", 'unnamed' FROM data_shards ANTI JOIN episodes USING (dataset_id, "data/chunk_index", "data/file_index") WHERE {_KEYS}"""
+_WIDTH = "x AS (SELECT dataset_id, episode_index, arg_min(len(action), frame_index) AS n FROM f WHERE action IS NOT NULL GROUP BY ALL)"
+_VM = "v AS (SELECT dataset_id, episode_index, frame_index, CASE WHEN isfinite(action[i]) THEN CAST(action[i] AS DOUBLE) END AS value FROM (SELECT DISTINCT dataset_id, episode_index, frame_index, coalesce(action, [NULL]) AS action FROM frames), range(1, 65) AS t(i) WHERE i <= len(action))"
+_IDS = ", ".join(f"'{c}'" for c in CHECKS)
+
+
+def _match_sql(keys: str) -> str:
+    off = "coalesce(abs({0}0 - {0}) / greatest(abs({0}), 1e-6) > 1e-4, false) AS {0}_off"
+    part = f"SELECT {keys}, avg(value) AS {{0}}, stddev_pop(value) AS {{1}} FROM v"
+    return f"WITH {_VM}, a AS ({part.format('mean', 'std')} GROUP BY ALL), b AS ({part.format('mean0', 'std0')} WHERE frame_index < {STORED_UP_TO} GROUP BY ALL) SELECT * FROM (SELECT {keys}, {off.format('mean')}, {off.format('std')} FROM a JOIN b USING ({keys}))"
+
+
+_RES = f"""WITH {_F}, {_E}, {_TASK}, {_LANG}, {_AGREE}, {_STEP}, {_FEAT}, {_V}, {_SANE}, {_HELD}, {_POS}, {_DRIFT}, {_WIDTH},
+hit AS (SELECT dataset_id, 'SEMANTIC.FEATURE_DIMENSIONALITY' AS check_id, 'FAIL' AS severity FROM x JOIN feat USING (dataset_id) WHERE feature = 'action' AND n <> list_product(shape)
+  UNION ALL SELECT dataset_id, 'STATISTICAL.VALUE_SANITY', CASE WHEN k = 0 THEN 'FAIL' ELSE 'WARN' END FROM m WHERE k < n OR lo = hi
+  UNION ALL SELECT dataset_id, 'STRUCTURAL.SCHEMA_CONSISTENCY', 'FAIL' FROM feat LEFT JOIN held USING (feature) WHERE dtype <> 'video' AND kind IS DISTINCT FROM dtype
+  UNION ALL SELECT dataset_id, 'STRUCTURAL.INDEX_CONTINUITY', 'FAIL' FROM p JOIN e USING (dataset_id, episode_index) WHERE i IS DISTINCT FROM lo + pos
+  UNION ALL SELECT dataset_id, 'STRUCTURAL.PATH_TEMPLATE_RESOLVES', 'FAIL' FROM ({_ABSENT})
+  UNION ALL SELECT dataset_id, 'KNOWNBUG.TIMESTAMP_DRIFT', 'FAIL' FROM dr WHERE running > 1e-4
+  UNION ALL SELECT dataset_id, 'SEMANTIC.TASK_INTEGRITY', 'FAIL' FROM task UNION ALL SELECT dataset_id, 'SEMANTIC.LANGUAGE_PRESENT', 'WARN' FROM lang
   UNION ALL SELECT dataset_id, 'STRUCTURAL.METADATA_DATA_AGREEMENT', 'FAIL' FROM agree UNION ALL SELECT dataset_id, 'TEMPORAL.TIMESTAMP_MONOTONIC', 'FAIL' FROM mono UNION ALL SELECT dataset_id, 'TEMPORAL.TIMESTAMP_SPACING', upper(level) FROM space),
-ids AS (SELECT DISTINCT dataset_id, unnest(['SEMANTIC.TASK_INTEGRITY', 'SEMANTIC.LANGUAGE_PRESENT', 'STRUCTURAL.METADATA_DATA_AGREEMENT', 'TEMPORAL.TIMESTAMP_MONOTONIC', 'TEMPORAL.TIMESTAMP_SPACING']) AS check_id FROM datasets),
+ids AS (SELECT DISTINCT dataset_id, unnest([{_IDS}]) AS check_id FROM datasets),
 res AS (SELECT dataset_id, check_id, coalesce(min(severity), 'INFO') AS severity FROM ids LEFT JOIN hit USING (dataset_id, check_id) GROUP BY ALL),
 n AS (SELECT dataset_id, count(*) FILTER (severity = 'INFO') AS n_info, count(*) FILTER (severity = 'WARN') AS n_warn, count(*) FILTER (severity = 'FAIL') AS n_fail, count(*) FILTER (severity = 'ERROR') AS n_error FROM res GROUP BY ALL),
 score AS (SELECT *, greatest(0, 100 - least(30 * n_fail, 60) - least(5 * n_warn, 20) - 10 * n_error) AS trust_score, CASE WHEN n_error > 0 THEN 'ERROR' WHEN n_fail > 0 THEN 'FAIL' WHEN n_warn > 0 THEN 'WARN' ELSE 'PASS' END AS grade,
@@ -269,6 +334,11 @@ score AS (SELECT *, greatest(0, 100 - least(30 * n_fail, 60) - least(5 * n_warn,
 """
 
 SQL = {
+    "check_paths": f"{_ABSENT} UNION ALL {_UNNAMED}",
+    "undefined_references": "SELECT DISTINCT o_orderkey AS k, 'orders' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'lineitem' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
+    "check_intrinsics": "WITH e AS (SELECT label, arg_min(embedding, vec_id) AS k FROM embeddings GROUP BY label), m AS (SELECT label, len(k) AS n, k[1] AS fx, CASE WHEN len(k) >= 9 THEN k[5] ELSE k[2] END AS fy, k[3] AS cx, CASE WHEN len(k) >= 9 THEN k[6] ELSE k[4] END AS cy FROM e) SELECT label, 'short' AS finding FROM m WHERE n < 4 UNION ALL SELECT label, 'focal length' FROM m WHERE n >= 4 AND (fx <= 0 OR fy <= 0) UNION ALL SELECT label, 'principal point' FROM m WHERE n >= 4 AND (cx <= 0 OR cy <= 0)",
+    "check_stats_match": _match_sql("dataset_id"),
+    "check_episode_stats_match": _match_sql("dataset_id, episode_index") + " WHERE mean_off OR std_off",
     "check_feature_dimensionality": f"WITH {_F}, {_FEAT}, x AS (SELECT dataset_id, episode_index, arg_min(len(action), frame_index) AS n FROM f WHERE action IS NOT NULL GROUP BY ALL) SELECT dataset_id, list_product(shape)::BIGINT AS declared, count(*) AS episodes, count(*) FILTER (n <> list_product(shape)) AS off FROM x JOIN feat USING (dataset_id) WHERE feature = 'action' GROUP BY ALL",
     "check_task_integrity": f"WITH {_TASK} SELECT * FROM task",
     "check_language_present": f"WITH {_LANG} SELECT * FROM lang",
@@ -279,18 +349,16 @@ SQL = {
     "check_schema_consistency": f"WITH {_FEAT}, held AS (SELECT * FROM (VALUES ('dataset_id', 'int64'), ('episode_index', 'int64'), ('frame_index', 'int64'), ('index', 'int64'), ('timestamp', 'float32'), ('task_index', 'int64'), ('action', 'float32')) AS t(feature, kind)) SELECT dataset_id, feature, dtype, CASE WHEN kind IS NULL THEN 'absent' WHEN kind = dtype THEN 'same' ELSE 'other' END AS held FROM feat LEFT JOIN held USING (feature) WHERE dtype <> 'video'",
     "check_index_continuity": f"WITH {_E}, g AS (SELECT DISTINCT dataset_id, episode_index, frame_index, \"index\" AS i FROM frames WHERE frame_index IS NOT NULL), p AS (SELECT *, frame_index - min(frame_index) OVER (PARTITION BY dataset_id, episode_index) AS pos FROM g) SELECT dataset_id, episode_index, count(*) AS rows, count(*) FILTER (i IS DISTINCT FROM lo + pos) AS breaks FROM p JOIN e USING (dataset_id, episode_index) GROUP BY ALL HAVING count(*) FILTER (i IS DISTINCT FROM lo + pos) > 0",
     "check_metadata_agreement": f"WITH {_E}, {_AGREE} SELECT * FROM agree",
-    "check_paths": 'SELECT DISTINCT dataset_id, "data/chunk_index" AS chunk_index, "data/file_index" AS file_index FROM episodes ANTI JOIN data_shards USING (dataset_id, "data/chunk_index", "data/file_index") WHERE "data/chunk_index" IS NOT NULL AND "data/file_index" IS NOT NULL',
     "check_monotonic": f"WITH {_F}, {_STEP} SELECT * FROM mono",
     "check_spacing": f"WITH {_F}, {_STEP} SELECT * FROM space",
-    "check_drift": f"WITH {_F}, t AS (SELECT dataset_id, episode_index, sum(abs(CAST(ts AS DOUBLE) - CAST(CAST(CAST(frame_index AS DOUBLE) * (1.0 / fps) AS FLOAT) AS DOUBLE))) AS total FROM (SELECT DISTINCT dataset_id, episode_index, frame_index, ts FROM f WHERE isfinite(ts)) JOIN fps USING (dataset_id) GROUP BY ALL), r AS (SELECT *, sum(total) OVER (PARTITION BY dataset_id ORDER BY episode_index ROWS UNBOUNDED PRECEDING) AS running FROM t) SELECT dataset_id, round(sum(total), 4) AS total, min(episode_index) FILTER (running > 0.1) AS first_breach FROM r GROUP BY ALL",
+    "check_drift": f"WITH {_F}, t AS (SELECT dataset_id, episode_index, sum(abs(CAST(ts AS DOUBLE) - CAST(CAST(CAST(frame_index AS DOUBLE) * (1.0 / fps) AS FLOAT) AS DOUBLE))) AS total FROM (SELECT DISTINCT dataset_id, episode_index, frame_index, ts FROM f WHERE isfinite(ts)) JOIN fps USING (dataset_id) GROUP BY ALL), r AS (SELECT *, sum(total) OVER (PARTITION BY dataset_id ORDER BY episode_index ROWS UNBOUNDED PRECEDING) AS running FROM t) SELECT dataset_id, round(sum(total), 4) AS total, min(episode_index) FILTER (running > 1e-4) AS first_breach FROM r GROUP BY ALL",
     "check_video_files": "SELECT dataset_id, camera, count(DISTINCT (chunk_index, file_index)) AS files, count(*) AS segments FROM (SELECT DISTINCT dataset_id, camera, chunk_index, file_index, episode_index FROM video_segments) GROUP BY ALL",
     "dataset_scores": _RES + "SELECT * FROM score",
     "audit_summary": _RES + "SELECT count(*) AS datasets, count(*) FILTER (grade = 'PASS') AS n_pass, count(*) FILTER (grade = 'WARN') AS n_warn, count(*) FILTER (grade = 'FAIL') AS n_fail, count(*) FILTER (grade = 'ERROR') AS n_error, CAST(0 AS BIGINT) AS n_timeout, round(100.0 * count(*) FILTER (grade IN ('FAIL', 'ERROR')) / count(*), 1) AS pct_fail_or_worse, round(100.0 * count(*) FILTER (grade <> 'PASS') / count(*), 1) AS pct_any_issue, round(avg(CAST(dataset_id AS DOUBLE)), 2) AS mean_duration_s FROM score",
-    "audit_top_checks": _RES + "SELECT check_id, count(*) AS fired FROM res WHERE severity <> 'INFO' GROUP BY check_id ORDER BY fired DESC, min(lpad(CAST(dataset_id AS VARCHAR), 8, '0') || check_id) LIMIT 3",
-    "audit_known_defects": _RES + ", k AS (SELECT * FROM (VALUES ('spacing', 'TEMPORAL.TIMESTAMP_SPACING'), ('agreement', 'STRUCTURAL.METADATA_DATA_AGREEMENT')) AS t(defect, check_id)) SELECT defect, count(*) FILTER (severity = 'FAIL') AS n, round(100.0 * count(*) FILTER (severity = 'FAIL') / (SELECT count(*) FROM score WHERE grade <> 'ERROR'), 1) AS pct FROM k JOIN res USING (check_id) GROUP BY defect",
+    "audit_top_checks": _RES + "SELECT check_id, count(*) AS fired FROM res WHERE severity <> 'INFO' GROUP BY check_id ORDER BY fired DESC, min(lpad(CAST(dataset_id AS VARCHAR), 8, '0') || check_id) LIMIT 10",
+    "audit_known_defects": _RES + ", k AS (SELECT * FROM (VALUES ('timestamp_drift', 'KNOWNBUG.TIMESTAMP_DRIFT'), ('metadata_data_agreement', 'STRUCTURAL.METADATA_DATA_AGREEMENT')) AS t(defect, check_id)) SELECT defect, count(*) FILTER (severity = 'FAIL') AS n, round(100.0 * count(*) FILTER (severity = 'FAIL') / (SELECT count(*) FROM score WHERE grade <> 'ERROR'), 1) AS pct FROM k JOIN res USING (check_id) GROUP BY defect",
     "series_last_runs": "WITH x AS (SELECT event_id // 100 AS part, event_id, event_type, event_id - row_number() OVER (PARTITION BY event_id // 100, event_type ORDER BY event_id) AS run FROM events), y AS (SELECT part, event_type, run, min(event_id) AS first_id, count(*) AS n FROM x GROUP BY ALL) SELECT part, event_type, max(first_id) AS first_id, arg_max(n, first_id) AS n FROM y GROUP BY ALL",
     "orders_lines_agreement": "SELECT o_orderkey AS k, CAST(3 AS BIGINT) AS declared, count(l_orderkey) AS actual FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING count(l_orderkey) <> 3",
-    "undefined_references": "SELECT DISTINCT o_custkey AS k, 'orders' AS side FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT DISTINCT c_custkey, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "embedding_moments": "SELECT label, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high, CAST(min(w) AS BIGINT) AS width, CAST(max(w) AS BIGINT) AS width_max FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, len(embedding) AS w FROM embeddings) GROUP BY label",
     "event_spacing": "WITH s AS (SELECT user_id, event_id, floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events) SELECT user_id, min(event_id) AS event_id, CASE WHEN arg_min(abs(gap - 3600) > 3600, event_id) THEN 'fail' ELSE 'warn' END AS level FROM s WHERE abs(gap - 3600) > 60 GROUP BY user_id",
     "source_spellings": "SELECT lower(trim(source)) AS source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS declared, CAST(sum(length(text)) AS BIGINT) AS actual FROM documents GROUP BY 1",
