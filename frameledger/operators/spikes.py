@@ -166,22 +166,21 @@ def _row_batch(dataset: np.ndarray, c: int, **cols: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(arrays, names=["dataset_id", "component", *kinds])
 
 
-def _judge(factor: float, sent: Callable[[], dict] | None) -> Callable:
+def _judge(factor: float) -> Callable:
     """Candidates with their standoff and stuck values (episode_index not null), and the changes in the bins of the quantile (change not null).
 
-    The bins and the step's lower bound of a source are looked up in what was sent, else they stand in
-    the column edges of each row.
+    The bins and the step's lower bound of a source stand in the column edges, four numbers a component.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if sent is None else sent()
         for t in group_chunks(batches, _SHARD_KEYS):
             group, core, halo = _groups(t), t.column("halo").to_numpy() == 0, t.column("halo").to_numpy()
             dataset, episode, frame = (t.column(k).to_numpy() for k in ("dataset_id", "episode_index", "frame_index"))
             cuts = np.concatenate(([0], np.flatnonzero(dataset[1:] != dataset[:-1]) + 1, [t.num_rows]))
-            here = known
-            if here is None:
-                here = {(int(dataset[a]), e["component"]): (e["low"], e["high"], e["floor"]) for a in cuts[:-1] for e in t.column("edges")[int(a)].as_py() or ()}
+            here = {}
+            for a in cuts[:-1]:
+                for c, low, high, floor in np.array(t.column("edges")[int(a)].as_py() or (), float).reshape(-1, 4):
+                    here[int(dataset[a]), int(c)] = (low, high, floor)
             for c, rows, v in _components(t):
                 fine = np.isfinite(v)
                 off = np.where(fine, 0.0, np.inf)
@@ -192,14 +191,14 @@ def _judge(factor: float, sent: Callable[[], dict] | None) -> Callable:
                 at, d = _changes_of(rows[fine], v[fine], group, halo)
                 places = np.flatnonzero(fine)
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    low, high, floor = here.get((int(dataset[a]), c), (None, None, None))
+                    low, high, floor = here.get((int(dataset[a]), c), (np.nan, np.nan, np.nan))
                     mine = places[slice(*np.searchsorted(rows[places], (a, b)))]
-                    if floor is not None and len(mine):
+                    if not np.isnan(floor) and len(mine):
                         x, g = v[mine], group[rows[mine]]
                         one = candidates(x, g, factor * floor)
                         got = standoff(x, g, one)
                         off[mine[one]] = np.maximum(off[mine[one]], np.where(got > factor * floor, got, 0.0))
-                    if low is not None and c >= 0:
+                    if c >= 0 and not np.isnan(low):
                         near = d[slice(*np.searchsorted(at, (a, b)))]
                         near = near[(near > 0) & (near.view(np.int64) >> BITS >= low) & (near.view(np.int64) >> BITS <= high)]
                         value, n = np.unique(near, return_counts=True)
@@ -229,8 +228,8 @@ def _neighbours(one: DataFrame, wide: DataFrame) -> DataFrame:
     return near.select("dataset_id", "episode_index", "shard", "x.frame_index", F.when(F.col("component") == -1, F.col("x.v")).alias("timestamp"), place.alias("action"), F.lit(1).alias("halo"))
 
 
-#: Sources (components of datasets) whose bins are sent to every task, some 10 MB; of more they travel with the rows.
-MOST_SOURCES = 100_000
+#: Datasets up to whose number the sources' bins are broadcast, some 200 bytes each; with more it is an ordinary join.
+MOST_DATASETS = 50_000
 
 
 def _edges(rows: DataFrame, datasets: DataFrame, quantile: float) -> DataFrame:
@@ -287,23 +286,23 @@ def implausible_readings(frames: DataFrame, datasets: DataFrame, factor: float =
     keyed = frames.filter("dataset_id is not null and episode_index is not null and frame_index is not null")
     one = keyed.select("dataset_id", "episode_index", "frame_index", F.col("timestamp").cast("float").alias("timestamp"), F.col("action").cast("array<float>").alias("action")).distinct()
     one = one.withColumn("shard", shard)
-    # episodes of more than one shard; where there are none, the join's side is empty and the branch falls away while running
-    wide = one.groupBy("dataset_id", "episode_index").agg(F.min("shard").alias("_a"), F.max("shard").alias("_b")).filter("_a < _b").drop("_a", "_b")
-    rows = one.select(*_SHARD_KEYS, "frame_index", "timestamp", "action", F.lit(0).alias("halo")).unionByName(_neighbours(one, wide))
-    placed = lambda d: d.repartition(*_SHARD_KEYS).sortWithinPartitions(*_SHARD_KEYS, "frame_index", "timestamp", "action")
+    rows = one.select(*_SHARD_KEYS, "frame_index", "timestamp", "action", F.lit(0).alias("halo"))
+    # only where some reading lies beyond the first shard can an episode have several; the files' statistics answer that
+    if not keyed.filter((F.col("frame_index") >= SHARD) | (F.col("frame_index") < 0)).isEmpty():
+        wide = keyed.groupBy("dataset_id", "episode_index").agg(F.min(shard).alias("_a"), F.max(shard).alias("_b")).filter("_a < _b").drop("_a", "_b")
+        rows = rows.unionByName(_neighbours(one, wide))
+    # sorted last: a sort below a join would be dropped
+    placed, ordered = lambda d: d.repartition(*_SHARD_KEYS), lambda d: d.sortWithinPartitions(*_SHARD_KEYS, "frame_index", "timestamp", "action")
     rows = placed(rows)
-    edges = cut(_edges(rows, datasets, quantile))
+    edges = _edges(ordered(rows), datasets, quantile)
     source = ["dataset_id", "component"]
-    if small := small_enough(edges, MOST_SOURCES):
-        table = {(r.dataset_id, r.component): (r.low, r.high, r.floor) for r in edges.select(*source, "low", "high", "floor").collect()}
-        sent = frames.sparkSession.sparkContext.broadcast(table)
-        judge = _judge(factor, lambda: sent.value)
-    else:
-        per = edges.groupBy("dataset_id").agg(F.collect_list(F.struct("component", "low", "high", "floor")).alias("edges"))
-        rows, judge = placed(rows.join(per, "dataset_id", "left")), _judge(factor, None)
-    got = cut(rows.mapInArrow(judge, _FOUND))  # candidates, stuck values and a few changes
-    steps = _exact_steps(edges, got)
-    found = got.filter("episode_index is not null").join(F.broadcast(steps) if small else steps, source, "left")
+    per = edges.groupBy("dataset_id").agg(F.flatten(F.collect_list(F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in ("component", "low", "high", "floor"))))).alias("edges"))
+    small = small_enough(datasets, MOST_DATASETS)
+    rows = ordered(rows.join(F.broadcast(per), "dataset_id", "left") if small else placed(rows.join(per, "dataset_id", "left")))
+    # candidates, stuck values, a few changes, and the bins themselves: written once
+    got = cut(rows.mapInArrow(_judge(factor), _FOUND).unionByName(edges, allowMissingColumns=True))
+    steps = _exact_steps(got.filter("same is not null").select(edges.columns), got)
+    found = got.filter("episode_index is not null").select(*source, "episode_index", "frame_index", "standoff", "stuck").join(F.broadcast(steps) if small else steps, source, "left")
     spike = (F.col("standoff") == float("inf")) | (F.col("standoff") > factor * F.col("step"))
     stuck = F.col("stuck") & (F.coalesce("same", F.lit(0.0)) <= 0.5)
     return found.filter(F.coalesce(spike, F.lit(False)) | stuck).select("dataset_id", "episode_index", "frame_index", "component")

@@ -420,7 +420,7 @@ def test_the_normal_course_is_no_candidate():
 @pytest.mark.parametrize("most", [0, 10**6])
 def test_steps_are_exact_quantiles(spark, monkeypatch, most):
     """Values just below and above 20 times the exact quantile are told apart, in one bin of changes and in many, sent or joined."""
-    monkeypatch.setattr(spikes, "MOST_SOURCES", most)
+    monkeypatch.setattr(spikes, "MOST_DATASETS", most)
     rng = np.random.default_rng(most)
     frames, want = [], set()
     for d, scale in enumerate([1.0, 1e-3, 1e6]):
