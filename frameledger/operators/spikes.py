@@ -108,7 +108,7 @@ def run_lengths(v: np.ndarray, group: np.ndarray) -> np.ndarray:
 def _components(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """component, rows with a value, the values: from a table sorted by shard and frame_index, resent rows left out."""
     n = t.num_rows
-    frame, halo = (t.column(c).to_numpy() for c in ("frame_index", "halo"))
+    frame, halo = t.column("frame_index").to_numpy(), _halo(t)
     again = np.zeros(n, bool)
     again[1:] = (frame[1:] == frame[:-1]) & (halo[1:] == 0) & (halo[:-1] == 0) & (_groups(t)[1:] == _groups(t)[:-1])
     ts = t.column("timestamp").combine_chunks()
@@ -125,6 +125,11 @@ def _components(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield c, rows, value[first[rows] + c].astype(np.float64)
 
 
+def _halo(t: pa.Table) -> np.ndarray:
+    """Whether a row stands in for a reading of a neighbouring shard; without such rows there is no column."""
+    return t.column("halo").to_numpy() if "halo" in t.column_names else np.zeros(t.num_rows, np.int32)
+
+
 def _groups(t: pa.Table) -> np.ndarray:
     new = np.zeros(t.num_rows, bool)
     for k in _SHARD_KEYS:
@@ -142,7 +147,7 @@ def _changes_of(rows: np.ndarray, v: np.ndarray, group: np.ndarray, halo: np.nda
 def _histogram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """dataset_id, component, bin (leading bits of the change, -1 if it is zero), n."""
     for t in group_chunks(batches, _SHARD_KEYS):
-        group, dataset, halo = _groups(t), t.column("dataset_id").to_numpy(), t.column("halo").to_numpy()
+        group, dataset, halo = _groups(t), t.column("dataset_id").to_numpy(), _halo(t)
         for c, rows, v in _components(t):
             fine = np.isfinite(v)
             at, d = _changes_of(rows[fine], v[fine], group, halo)
@@ -174,7 +179,7 @@ def _judge(factor: float) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in group_chunks(batches, _SHARD_KEYS):
-            group, core, halo = _groups(t), t.column("halo").to_numpy() == 0, t.column("halo").to_numpy()
+            group, core, halo = _groups(t), _halo(t) == 0, _halo(t)
             dataset, episode, frame = (t.column(k).to_numpy() for k in ("dataset_id", "episode_index", "frame_index"))
             cuts = np.concatenate(([0], np.flatnonzero(dataset[1:] != dataset[:-1]) + 1, [t.num_rows]))
             here = {}
@@ -238,7 +243,9 @@ def _edges(rows: DataFrame, datasets: DataFrame, quantile: float) -> DataFrame:
     A source has a row per bin that occurs, whatever the number of its readings.
     """
     source = ["dataset_id", "component"]
-    h = rows.mapInArrow(_histogram, "dataset_id bigint, component bigint, bin bigint, n bigint").groupBy(*source, "bin").agg(F.sum("n").alias("n"))
+    h = rows.mapInArrow(_histogram, "dataset_id bigint, component bigint, bin bigint, n bigint")
+    # said here, as a join would say it, so that both uses of the histogram are one
+    h = h.filter("dataset_id is not null").groupBy(*source, "bin").agg(F.sum("n").alias("n"))
     total = Window.partitionBy(*source)
     h = h.withColumns({"before": F.sum("n").over(total.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), "all": F.sum("n").over(total), "zero": F.sum(F.when(F.col("bin") < 0, F.col("n")).otherwise(0)).over(total)})
     h = h.withColumn("before", F.coalesce("before", F.lit(0)) - F.col("zero")).withColumn("pos", F.lit(quantile) * (F.col("all") - F.col("zero") - 1))
@@ -286,11 +293,11 @@ def implausible_readings(frames: DataFrame, datasets: DataFrame, factor: float =
     keyed = frames.filter("dataset_id is not null and episode_index is not null and frame_index is not null")
     one = keyed.select("dataset_id", "episode_index", "frame_index", F.col("timestamp").cast("float").alias("timestamp"), F.col("action").cast("array<float>").alias("action")).distinct()
     one = one.withColumn("shard", shard)
-    rows = one.select(*_SHARD_KEYS, "frame_index", "timestamp", "action", F.lit(0).alias("halo"))
+    rows = one.select(*_SHARD_KEYS, "frame_index", "timestamp", "action")
     # only where some reading lies beyond the first shard can an episode have several; the files' statistics answer that
     if not keyed.filter((F.col("frame_index") >= SHARD) | (F.col("frame_index") < 0)).isEmpty():
         wide = keyed.groupBy("dataset_id", "episode_index").agg(F.min(shard).alias("_a"), F.max(shard).alias("_b")).filter("_a < _b").drop("_a", "_b")
-        rows = rows.unionByName(_neighbours(one, wide))
+        rows = rows.withColumn("halo", F.lit(0)).unionByName(_neighbours(one, wide))
     # sorted last: a sort below a join would be dropped
     placed, ordered = lambda d: d.repartition(*_SHARD_KEYS), lambda d: d.sortWithinPartitions(*_SHARD_KEYS, "frame_index", "timestamp", "action")
     rows = placed(rows)
