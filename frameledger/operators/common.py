@@ -27,14 +27,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read from there, so that later steps do not repeat its plan.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share.
 
-    The folder is the session's. Where none is set, one process on one machine (tests) makes a temporary
-    one and removes it at its end; on a cluster that is an error, as executors could not share it. What
-    is written goes with the session's own cleaning (spark.cleaner.referenceTracking.cleanCheckpoints).
+    Where none is set, one process on one machine (tests) makes a temporary one and removes it at its
+    end; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="frameledger-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there, so that later steps do not repeat its plan.
+
+    What is written goes with the session's own cleaning (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
