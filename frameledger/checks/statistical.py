@@ -87,8 +87,9 @@ def stats_match_data(ds: TrajectoryDataset, ctx: CheckContext) -> CheckResult:
         if mean is not None and std is not None:
             rows += [(place, n, i, len(mean), len(std), a, b) for i, (a, b) in enumerate(zip(mean, std, strict=False))]
     d = ds.spark.createDataFrame(rows, "place int, feature string, item int, n_mean int, n_std int, mean0 double, std0 double")
-    m = pooled(_moments(ds, names), ["feature"])
-    got = _with_order(ds, m, ["feature"], names, True)
+    stated = list(dict.fromkeys(r[1] for r in rows))
+    m = pooled(_moments(ds, stated), ["feature"])
+    got = _with_order(ds, m, ["feature"], stated, True)
     zero = F.lit(0.0)
     j = d.join(got, "feature", "left").withColumns({"mean": F.coalesce("mean", zero), "std": F.coalesce("std", zero)})
     j = j.withColumns({"off_mean": off_tolerance(F.col("mean0"), F.col("mean"), RTOL), "off_std": off_tolerance(F.col("std0"), F.col("std"), RTOL)})
@@ -113,7 +114,9 @@ def per_episode_stats_match(ds: TrajectoryDataset, ctx: CheckContext) -> CheckRe
     require_shards(ds)
     names = _features(ds, [f for f in ds.features if f.is_numeric])
     stored = stored_episode_stats(ds, names).filter("mean is not null and std is not null").withColumnsRenamed({"mean": "mean0", "std": "std0"})
-    got = _with_order(ds, _moments(ds, names), ["ord", "feature"], names, False)
+    kept = {r.feature for r in stored.select("feature").distinct().collect()}
+    stated = [n for n in names if n in kept]
+    got = _with_order(ds, _moments(ds, stated), ["ord", "feature"], stated, False)
     j = ds.episodes.select("ord", "episode_index").join(stored, "episode_index").join(got, ["ord", "feature"])
     j = j.select("ord", "episode_index", "feature", "mean", "std", F.posexplode(F.filter(F.arrays_zip("mean0", "std0"), lambda x: x["mean0"].isNotNull() & x["std0"].isNotNull())).alias("item", "s"))
     j = j.withColumns({"off_mean": off_tolerance(F.col("s.mean0"), F.col("mean"), RTOL), "off_std": off_tolerance(F.col("s.std0"), F.col("std"), RTOL)}).filter("off_mean or off_std")

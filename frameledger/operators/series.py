@@ -7,15 +7,15 @@ unique within the series. A series that holds a third of all rows is scanned in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameledger.functions.columns import is_blank, no_nan, py_gt, py_le, relative_error
-from frameledger.operators.common import previous_row
+from frameledger.operators.common import group_chunks, previous_row
 
 BLOCK = 1 << 16
 
@@ -204,19 +204,52 @@ def ordered_moments(values: DataFrame, keys: Sequence[str], order: Sequence[str]
     w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     v = v.join(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))), [*keys, "_block"])
     names = ", ".join(f"{n} {t}" for n, t in values.select(*keys).dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        got = _slice(pdf["value"].to_numpy(np.float64), int(pdf["_before"].iloc[0]))
-        return pdf[[*keys, "_block"]].iloc[:1].assign(size=len(pdf), **dict(zip("abcde", got, strict=True)))
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean = m2 = 0.0
-        for r in pdf.sort_values("_block").itertuples():
-            m2 += r.c + r.d * mean + r.e * mean * mean
-            mean = r.a + r.b * mean
-        n = int(pdf["size"].sum())
-        return pdf[keys].iloc[:1].assign(n=n, mean=mean, std=(m2 / n) ** 0.5 if n > 1 else 0.0)
-
-    slices = v.groupBy(*keys, "_block").applyInPandas(fold, f"{names}, _block bigint, size bigint, a double, b double, c double, d double, e double")
-    return slices.groupBy(*keys).applyInPandas(merge, f"{names}, n bigint, mean double, std double")
+    part = [*keys, "_block"]
+    v = v.repartition(*part).sortWithinPartitions(*part, *order).select(*part, "value", "_before")
+    slices = v.mapInArrow(_folded(part), f"{names}, _block bigint, size bigint, a double, b double, c double, d double, e double")
+    slices = slices.repartition(*keys).sortWithinPartitions(*part)
+    return slices.mapInArrow(_merged(keys), f"{names}, n bigint, mean double, std double")
+
+
+def _each(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Chunks of sorted batches with the places where groups of equal keys begin, and the end."""
+    for t in group_chunks(batches, keys):
+        new = np.zeros(t.num_rows, bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        yield t, np.concatenate(([0], np.flatnonzero(new), [t.num_rows]))
+
+
+def _with(t: pa.Table, keys: Sequence[str], at: np.ndarray, names: Sequence[str], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    out = t.select(list(keys)).take(pa.array(at))
+    for n, c in zip(names, zip(*rows, strict=True), strict=True):
+        out = out.append_column(n, pa.array(c))
+    yield from out.combine_chunks().to_batches()
+
+
+def _folded(part: Sequence[str]) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _each(batches, part):
+            value, before = t.column("value").to_numpy(), t.column("_before").to_numpy()
+            rows = [(int(b - a), *_slice(value[a:b], int(before[a]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield from _with(t, part, cuts[:-1], ("size", *"abcde"), rows)
+
+    return run
+
+
+def _merged(keys: Sequence[str]) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _each(batches, keys):
+            size, *parts = (t.column(c).to_numpy() for c in ("size", *"abcde"))
+            rows = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                mean = m2 = 0.0
+                for a, b, c, d, e in zip(*(x[i:j].tolist() for x in parts), strict=True):
+                    m2 += c + d * mean + e * mean * mean
+                    mean = a + b * mean
+                n = int(size[i:j].sum())
+                rows.append((n, mean, (m2 / n) ** 0.5 if n > 1 else 0.0))
+            yield from _with(t, keys, cuts[:-1], ("n", "mean", "std"), rows)
+
+    return run
