@@ -181,7 +181,9 @@ def test_reports():
     assert s["properties"]["trust_score"] == 65
     t = terminal(r)
     assert "unknown" in t
-    assert t.index("FAIL ", t.index("severity")) < t.index("ERROR", t.index("severity"))
+    counts = t[t.index("by severity") :]
+    assert counts.index("FAIL") < counts.index("WARN") < counts.index("ERROR") < counts.index("INFO")
+    assert "score 65 of 100" in t
 
 
 def test_command_line(spark, tmp_path, capsys):
