@@ -51,11 +51,14 @@ def _info(version: str, episodes: int, frames: int) -> dict:
 
 
 def _root(spark: SparkSession) -> str:
-    """A new folder in the shared one, removed when the process ends."""
-    root = f"{shared_folder(spark)}/layout-{uuid.uuid4().hex}"
+    """A new folder in the shared one, as a path where that is a folder of files; removed when the process ends."""
+    shared = shared_folder(spark)
+    if shared.startswith("file:"):
+        shared = "/" + shared.removeprefix("file:").lstrip("/")
+    root = f"{shared}/layout-{uuid.uuid4().hex}"
     system, path = filesystem(root)
     atexit.register(lambda: system.delete_dir(path) if system.get_file_info([path])[0].type == fs.FileType.Directory else None)
-    return path if root.startswith("file:") else root
+    return root
 
 
 def _v3(spark: SparkSession, d: str) -> str:

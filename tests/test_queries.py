@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from frameledger.operators import common
+from frameledger.plans import layouts
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -39,5 +41,13 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
 
 
+def test_layouts_are_written_to_the_shared_folder(spark):
+    root = layouts._root(spark)
+    shared = common.shared_folder(spark)
+    assert os.path.isabs(root)
+    assert "file:" not in root
+    assert os.path.dirname(root) == shared.removeprefix("file:")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
